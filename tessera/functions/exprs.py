@@ -122,3 +122,14 @@ def count_hits(lowered_text: Column, needles: list[str]) -> Column:
     for t in terms[1:]:
         total = total + t
     return total
+
+
+def hash52(*parts) -> Column:
+    """52-bit integer hash (exact in a double) for ranking rows by a seeded
+    random order; collisions are ~n^2/2^53."""
+    key = F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double")
+
+
+def swapcase_char(ch: Column) -> Column:
+    return F.when(F.upper(ch) == ch, F.lower(ch)).otherwise(F.upper(ch))

@@ -58,31 +58,8 @@ def exact_quantiles(df: DataFrame, cols: dict[str, Column], probs: list[float],
             for rank in {math.floor(h), math.ceil(h)}:
                 targets[(n, rank)] = [ap[j], ap[len(probs) + j], None]
 
-    stacked = _stack(df, cols)
-    if targets:
-        # pass 2: verify brackets (rows below, rows inside) in one aggregation
-        keys = list(targets)
-        checks = []
-        for t, (name, rank) in enumerate(keys):
-            lo, hi, _ = targets[(name, rank)]
-            is_col = F.col("name") == name
-            checks += [F.count_if(is_col & (F.col("v") < lo)).alias(f"b{t}"),
-                       F.count_if(is_col & F.col("v").between(lo, hi)).alias(f"i{t}")]
-        r2 = stacked.agg(*checks).first()
-        for t, key in enumerate(keys):
-            below, inside = r2[f"b{t}"], r2[f"i{t}"]
-            lo, hi, _ = targets[key]
-            if below <= key[1] < below + inside:
-                targets[key] = [lo, hi, below]
-                if inside <= max_local:
-                    continue
-            else:  # sketch missed: restart from the full range
-                i = names.index(key[0])
-                targets[key] = [r1[f"mn{i}"], r1[f"mx{i}"], 0]
-            _narrow(stacked, key, targets, max_local, buckets)
-        values = _collect_ranks(stacked, targets)
-    else:
-        values = {}
+    minmax = {n: (r1[f"mn{i}"], r1[f"mx{i}"]) for i, n in enumerate(names)}
+    values = _resolve(_stack(df, cols), targets, minmax, max_local, buckets)
 
     out: dict[str, list[float | None]] = {}
     for n in names:
@@ -99,6 +76,52 @@ def exact_quantiles(df: DataFrame, cols: dict[str, Column], probs: list[float],
     return out
 
 
+def _resolve(stacked: DataFrame, targets: dict, minmax: dict, max_local: int, buckets: int) -> dict:
+    """Exact values at the target ranks, given approximate brackets."""
+    if not targets:
+        return {}
+    # pass 2: verify brackets (rows below, rows inside) in one aggregation
+    keys = list(targets)
+    checks = []
+    for t, (name, rank) in enumerate(keys):
+        lo, hi, _ = targets[(name, rank)]
+        is_col = F.col("name") == name
+        checks += [F.count_if(is_col & (F.col("v") < lo)).alias(f"b{t}"),
+                   F.count_if(is_col & F.col("v").between(lo, hi)).alias(f"i{t}")]
+    r2 = stacked.agg(*checks).first()
+    for t, key in enumerate(keys):
+        below, inside = r2[f"b{t}"], r2[f"i{t}"]
+        lo, hi, _ = targets[key]
+        if below <= key[1] < below + inside:
+            targets[key] = [lo, hi, below]
+            if inside <= max_local:
+                continue
+        else:  # sketch missed: restart from the full range
+            targets[key] = [minmax[key[0]][0], minmax[key[0]][1], 0]
+        _narrow(stacked, key, targets, max_local, buckets)
+    return _collect_ranks(stacked, targets)
+
+
+def kth_smallest(df: DataFrame, cols: dict[str, Column], ranks: dict[str, int], n: int,
+                 max_local: int = 200_000, buckets: int = 4096) -> dict[str, float | None]:
+    """Exact value at 0-based ``ranks[name]`` of each column (``n`` non-null
+    rows each), with the same bounded passes as ``exact_quantiles``."""
+    if not cols or n <= 0:
+        return {c: None for c in cols}
+    eps = 2.0 / ACCURACY
+    aggs = []
+    for i, name in enumerate(cols):
+        c = cols[name].cast("double")
+        p = ranks[name] / max(n - 1, 1)
+        aggs += [F.min(c).alias(f"mn{i}"), F.max(c).alias(f"mx{i}"),
+                 F.percentile_approx(c, [max(0.0, p - eps), min(1.0, p + eps)], ACCURACY).alias(f"ap{i}")]
+    r1 = df.agg(*aggs).first()
+    targets = {(name, ranks[name]): [r1[f"ap{i}"][0], r1[f"ap{i}"][1], None] for i, name in enumerate(cols)}
+    minmax = {name: (r1[f"mn{i}"], r1[f"mx{i}"]) for i, name in enumerate(cols)}
+    values = _resolve(_stack(df, cols), targets, minmax, max_local, buckets)
+    return {name: values.get((name, ranks[name])) for name in cols}
+
+
 def _bracket_filter(targets: dict) -> Column:
     conds = [(F.col("name") == name) & F.col("v").between(lo, hi) for (name, _), (lo, hi, _) in targets.items()]
     cond = conds[0]

@@ -65,7 +65,7 @@ def ws_trim(x: str) -> str:
 
 def py_title(x: str) -> str:
     return ("array_to_string(list_transform(regexp_extract_all(" + x + ", '(\\p{L}+|[^\\p{L}]+)', 1), "
-            "p -> upper(left(p, 1)) || lower(substr(p, 2))), '')")
+            "lambda p: upper(left(p, 1)) || lower(substr(p, 2))), '')")
 
 
 def text2(x: str) -> str:
@@ -128,7 +128,7 @@ def dom_sales_sql() -> str:
     return f"""
     SELECT concat('D-', o_orderkey) AS DealID,
            CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE c_name END AS AccountName,
-           {pick(c['Stage'], 'o_orderkey % 6')} AS Stage, round(o_totalprice / 4, 2) AS Amount,
+           {pick(c['Stage'], 'o_orderkey % 6')} AS Stage, o_totalprice AS Amount,
            strftime(o_orderdate, '%Y-%m-%d') AS CloseDate, concat('Rep ', o_custkey % 20) AS Rep,
            CASE WHEN o_orderkey % 50 = 1 THEN replace({product}, ' ', '') ELSE {product} END AS Product,
            r_name AS Region, c_mktsegment AS LeadSource, o_custkey % 120 + 1 AS DaysInStage,
@@ -142,7 +142,7 @@ def dom_pm_sql() -> str:
     c = K.DOMAIN_CATEGORIES["pm"]
     status = pick(c["Status"], "(l_orderkey + l_linenumber) % 5")
     deps = ("array_to_string(list_transform(range(greatest(1, l_linenumber - 3), l_linenumber), "
-            "i -> concat('T-', l_orderkey, '-', i)), ',')")
+            "lambda i: concat('T-', l_orderkey, '-', i)), ',')")
     return f"""
     SELECT concat('T-', l_orderkey, '-', l_linenumber) AS TaskID, concat('Project ', l_orderkey % 50) AS ProjectName,
            concat('Eng ', l_suppkey % 30) AS Assignee, {status} AS Status,
@@ -234,3 +234,9 @@ def dq_select(rel: str, columns: list[str], numeric: list[str], numeric_typed: s
     return (f"SELECT round({comp}, 4) AS completeness, round({consistency}, 4) AS consistency, "
             f"round({uniq}, 4) AS uniqueness, "
             f"round(0.4 * {comp} + 0.35 * {consistency} + 0.25 * {uniq}, 4) AS overall FROM {rel}")
+
+
+def h52(*parts) -> str:
+    pieces = [p if isinstance(p, Sql) else q(str(p)) for p in parts]
+    key = "concat_ws('|', " + ", ".join(f"CAST({p} AS VARCHAR)" for p in pieces) + ")"
+    return f"CAST(('0x' || substr(md5({key}), 1, 13))::BIGINT AS DOUBLE)"

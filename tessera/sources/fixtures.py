@@ -124,7 +124,7 @@ def dom_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("D-"), k).alias("DealID"),
         F.when(F.pmod(k, F.lit(7)) == 0, F.lit(None).cast("string")).otherwise(F.col("c_name")).alias("AccountName"),
         _pick(cats["Stage"], stage_idx).alias("Stage"),
-        F.round(F.col("o_totalprice") / 4, 2).alias("Amount"),
+        F.col("o_totalprice").alias("Amount"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("CloseDate"),
         F.concat(F.lit("Rep "), F.pmod(F.col("o_custkey"), F.lit(20))).alias("Rep"),
         F.when(F.pmod(k, F.lit(50)) == 1, F.regexp_replace(product, " ", "")).otherwise(product).alias("Product"),
