@@ -97,7 +97,7 @@ def clean_clip_outliers_iqr(spark, sf):
 
 
 @register("clean_clip_report", lambda: _w(
-    f"SELECT round(q1 - 1.5 * (q3 - q1), 4) AS lower, round(q3 + 1.5 * (q3 - q1), 4) AS upper, "
+    f"SELECT {S.sround('q1 - 1.5 * (q3 - q1)', 4)} AS lower, {S.sround('q3 + 1.5 * (q3 - q1)', 4)} AS upper, "
     f"count_if({_PRICE} < q1 - 1.5 * (q3 - q1) OR {_PRICE} > q3 + 1.5 * (q3 - q1)) AS n_clipped "
     f"FROM dirty_orders, {_QS} GROUP BY q1, q3"))
 def clean_clip_report(spark, sf):
@@ -129,8 +129,8 @@ def _summary_sql() -> str:
     dq_before = S.dq_select("dirty_orders", DO["columns"], DO["numeric"], {"order_id"})
     dq_after = S.dq_select("cleaned", DO["columns"], DO["numeric"], {"order_id", "price"})
     ctes = _policy_ctes() + [("before", dq_before), ("after", dq_after)]
-    body = ("SELECT priority, count(*) AS n_orders, round(avg(price), 4) AS avg_price, "
-            "round(sum(price), 2) AS total_price, (SELECT overall FROM before) AS dq_before, "
+    body = (f"SELECT priority, count(*) AS n_orders, {S.sround('avg(price)', 4)} AS avg_price, "
+            f"{S.sround('sum(price)', 2)} AS total_price, (SELECT overall FROM before) AS dq_before, "
             "(SELECT overall FROM after) AS dq_after FROM cleaned GROUP BY priority")
     return S.with_fixtures(["dirty_orders"], body, ctes)
 

@@ -68,8 +68,15 @@ def py_title(x: str) -> str:
             "lambda p: upper(left(p, 1)) || lower(substr(p, 2))), '')")
 
 
+def sround(x: str, n: int) -> str:
+    """Spark's ``round`` on doubles: half-up on the shortest decimal text of
+    the value (0.385 -> 0.39), which DuckDB's binary ``round`` does not do."""
+    return f"CAST(round(CAST(CAST(({x}) AS VARCHAR) AS DECIMAL(38,20)), {n}) AS DOUBLE)"
+
+
 def text2(x: str) -> str:
-    return f"CAST(CAST({x} AS DECIMAL(18,2)) AS VARCHAR)"
+    """Spark's cast of a double to decimal(18,2) text (same half-up rule)."""
+    return f"CAST(CAST(CAST(CAST(({x}) AS VARCHAR) AS DECIMAL(38,20)) AS DECIMAL(18,2)) AS VARCHAR)"
 
 
 def in_list(x: str, values: list[str]) -> str:
@@ -110,7 +117,7 @@ def dom_hr_sql() -> str:
     return f"""
     SELECT concat('EMP-', c_custkey) AS EmployeeID, 18 + (c_custkey * 7) % 52 AS Age,
            {pick(c['Department'], 'c_nationkey % 3')} AS Department, {pick(c['JobRole'], 'c_custkey % 6')} AS JobRole,
-           CASE WHEN {uni(Sql('c_custkey'), 'income_missing')} < 0.05 THEN NULL ELSE round(c_acctbal * 2, 2) END
+           CASE WHEN {uni(Sql('c_custkey'), 'income_missing')} < 0.05 THEN NULL ELSE {sround('c_acctbal * 2', 2)} END
              AS MonthlyIncome,
            (c_custkey * 13) % 40 - 1 AS YearsAtCompany,
            CASE WHEN c_custkey % 5 = 0 THEN 'Yes' ELSE 'No' END AS Attrition,
@@ -231,9 +238,9 @@ def dq_select(rel: str, columns: list[str], numeric: list[str], numeric_typed: s
     comp = f"(1.0 - ({nulls}) / (count(*) * {len(columns)}))"
     consistency = f"(({cons}) / {len(numeric)})" if cons else "1.0"
     uniq = f"(CASE WHEN count(*) > 0 THEN 1.0 - (count(*) - count(DISTINCT ({key},))) / count(*) ELSE 1.0 END)"
-    return (f"SELECT round({comp}, 4) AS completeness, round({consistency}, 4) AS consistency, "
-            f"round({uniq}, 4) AS uniqueness, "
-            f"round(0.4 * {comp} + 0.35 * {consistency} + 0.25 * {uniq}, 4) AS overall FROM {rel}")
+    return (f"SELECT {sround(comp, 4)} AS completeness, {sround(consistency, 4)} AS consistency, "
+            f"{sround(uniq, 4)} AS uniqueness, "
+            f"{sround(f'0.4 * {comp} + 0.35 * {consistency} + 0.25 * {uniq}', 4)} AS overall FROM {rel}")
 
 
 def h52(*parts) -> str:
