@@ -270,3 +270,15 @@ def apply_domain_operation(df: DataFrame, operation: str, column: str | None, va
     if operation == "correct_typo":
         return correct_typo(df, column, value, params.get("wrong"))
     return df
+
+
+def gold_table(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
+    """Whole-row dedup, numeric columns coerced and median-filled (medians of
+    all numeric columns in one stats job family), categorical text stripped."""
+    deduped = drop_duplicates(df)
+    nums = [c for c in numeric if c in deduped.columns]
+    vals = {c: parse_double(F.col(c), dtype_of(deduped, c)) for c in nums}
+    med = stats.exact_quantiles(deduped, vals, [0.5])
+    out = {c: F.coalesce(vals[c], F.lit(med[c][0]).cast("double")) for c in nums}
+    out.update({c: ws_trim(F.col(c).cast("string")) for c in categorical if c in deduped.columns})
+    return deduped.withColumns(out)

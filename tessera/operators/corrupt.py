@@ -135,25 +135,47 @@ def corrupt_nulls(df: DataFrame, key: str, numeric: list[str], rate: float = 0.1
                            for c in numeric if c in df.columns})
 
 
-def corrupt_type_mismatch(df: DataFrame, key: str, numeric: list[str], rate: float = 0.15, seed: int = 42,
-                          n: int | None = None) -> DataFrame:
-    """Exactly max(1, int(n*rate*0.3)) cells per numeric column become one of
-    N/A, unknown, #REF!, TBD, -; the columns become text."""
-    cols = [c for c in numeric if c in df.columns]
-    n = df.count() if n is None else n
+def _type_hashes(key: str, cols: list[str], seed: int) -> dict[str, Column]:
+    return {f"type:{c}": hash52(F.col(key), seed, c, "type") for c in cols}
+
+
+def _typo_hashes(key: str, cols: list[str], seed: int) -> dict[str, Column]:
+    return {f"typo:{c}": hash52(F.col(key), seed, c, "typo") for c in cols}
+
+
+def _apply_type(df: DataFrame, key: str, cols: list[str], th: dict, seed: int) -> DataFrame:
     k = F.col(key)
-    hashes = {c: hash52(k, seed, c, "type") for c in cols}
-    th = _thresholds(df, hashes, _k(n, rate, 0.3), n)
     out = {}
     for c in cols:
         dt = dtype_of(df, c)
         text = F.col(c).cast("decimal(18,2)").cast("string") if dt.typeName() in ("double", "float") \
             else F.col(c).cast("string")
-        out[c] = F.when(hashes[c] <= th[c],
+        out[c] = F.when(hash52(k, seed, c, "type") <= th[f"type:{c}"],
                         hash_pick(hash_uniform(k, seed, c, "type_tok"), K.TYPE_MISMATCH_TOKENS)).otherwise(text)
     return df.withColumns(out)
 
 
+def _apply_typos(df: DataFrame, key: str, cols: list[str], th: dict, seed: int) -> DataFrame:
+    k = F.col(key)
+    out = {}
+    for c in cols:
+        t = typo_expr(F.col(c).cast("string"), hash_uniform(k, seed, c, "typo_kind"),
+                      hash_uniform(k, seed, c, "typo_idx"), hash_uniform(k, seed, c, "typo_char"))
+        out[c] = F.when(hash52(k, seed, c, "typo") <= th[f"typo:{c}"], t).otherwise(F.col(c).cast("string"))
+    return df.withColumns(out)
+
+
+def corrupt_type_mismatch(df: DataFrame, key: str, numeric: list[str], rate: float = 0.15, seed: int = 42,
+                          n: int | None = None) -> DataFrame:
+    """Exactly max(1, int(n*rate*0.3)) cells per numeric column become one of
+    N/A, unknown, #REF!, TBD, -; the columns become text."""
+    cols = [c for c in numeric if c in df.columns]
+    n = df.count() if n is None else n
+    hashes = _type_hashes(key, cols, seed)
+    th = stats.kth_smallest(df, hashes, {h: min(_k(n, rate, 0.3), n) - 1 for h in hashes}, n)
+    return _apply_type(df, key, cols, th, seed)
+
+
 def typo_expr(text: Column, u_kind: Column, u_idx: Column, u_char: Column) -> Column:
     """One typo at a hash-chosen index: swap with next, delete, insert a
     letter, or flip case. Strings shorter than 2 are unchanged; a swap at the
@@ -179,29 +201,20 @@ def corrupt_typos(df: DataFrame, key: str, categorical: list[str], rate: float =
     """Exactly max(1, int(n*rate*0.2)) cells per categorical column get a typo."""
     cols = [c for c in categorical if c in df.columns]
     n = df.count() if n is None else n
-    k = F.col(key)
-    hashes = {c: hash52(k, seed, c, "typo") for c in cols}
-    th = _thresholds(df, hashes, _k(n, rate, 0.2), n)
-    out = {}
-    for c in cols:
-        t = typo_expr(F.col(c).cast("string"), hash_uniform(k, seed, c, "typo_kind"),
-                      hash_uniform(k, seed, c, "typo_idx"), hash_uniform(k, seed, c, "typo_char"))
-        out[c] = F.when(hashes[c] <= th[c], t).otherwise(F.col(c).cast("string"))
-    return df.withColumns(out)
+    hashes = _typo_hashes(key, cols, seed)
+    th = stats.kth_smallest(df, hashes, {h: min(_k(n, rate, 0.2), n) - 1 for h in hashes}, n)
+    return _apply_typos(df, key, cols, th, seed)
 
 
-def corrupt_duplicates_whitespace(df: DataFrame, key: str, categorical: list[str], rate: float = 0.15,
-                                  seed: int = 42, n: int | None = None) -> DataFrame:
-    """Append exactly max(1, int(n*rate*0.1)) duplicate rows, then pad
-    exactly max(1, int(n*rate*0.2)) cells of each of the first two
-    categorical columns with two spaces on each side."""
-    n = df.count() if n is None else n
-    k = F.col(key)
-    hd = hash52(k, seed, "dup")
-    th = stats.kth_smallest(df, {"d": hd}, {"d": _k(n, rate, 0.1) - 1}, n)["d"]
-    rows = df.select("*", F.explode(F.sequence(F.lit(0), F.when(hd <= th, 1).otherwise(0))).alias("_copy"))
-    rk = F.concat_ws("#", k.cast("string"), F.col("_copy").cast("string"))
-    cols = [c for c in categorical[:2] if c in df.columns]
+def _dup_rows(df: DataFrame, key: str, th_dup: float, seed: int) -> DataFrame:
+    hd = hash52(F.col(key), seed, "dup")
+    return df.select("*", F.explode(F.sequence(F.lit(0), F.when(hd <= th_dup, 1).otherwise(0))).alias("_copy"))
+
+
+def _apply_whitespace(rows: DataFrame, key: str, categorical: list[str], rate: float, seed: int,
+                      n: int) -> DataFrame:
+    rk = F.concat_ws("#", F.col(key).cast("string"), F.col("_copy").cast("string"))
+    cols = [c for c in categorical[:2] if c in rows.columns]
     total = n + _k(n, rate, 0.1)
     hashes = {c: hash52(rk, seed, c, "ws") for c in cols}
     ths = stats.kth_smallest(rows, hashes, {c: min(_k(n, rate, 0.2), total) - 1 for c in cols}, total)
@@ -210,12 +223,33 @@ def corrupt_duplicates_whitespace(df: DataFrame, key: str, categorical: list[str
     return rows.withColumns(out)
 
 
+def corrupt_duplicates_whitespace(df: DataFrame, key: str, categorical: list[str], rate: float = 0.15,
+                                  seed: int = 42, n: int | None = None) -> DataFrame:
+    """Append exactly max(1, int(n*rate*0.1)) duplicate rows, then pad
+    exactly max(1, int(n*rate*0.2)) cells of each of the first two
+    categorical columns with two spaces on each side."""
+    n = df.count() if n is None else n
+    th = stats.kth_smallest(df, {"dup": hash52(F.col(key), seed, "dup")}, {"dup": _k(n, rate, 0.1) - 1}, n)["dup"]
+    return _apply_whitespace(_dup_rows(df, key, th, seed), key, categorical, rate, seed, n)
+
+
 def corrupt_domain(df: DataFrame, key: str, numeric: list[str], categorical: list[str], rate: float = 0.15,
                    seed: int = 42) -> DataFrame:
-    """nulls -> type mismatches -> typos -> duplicates -> whitespace; the row
-    count is taken once and reused by every exact-k step."""
+    """nulls -> type mismatches -> typos -> duplicates -> whitespace.
+
+    Every "exactly k" choice of the first three steps ranks rows by a hash of
+    the original key, so all their thresholds come from one batched
+    ``kth_smallest`` over the clean table; only the whitespace step (which
+    ranks the duplicated rows) needs a second batch. Jobs: count + 2 + 2."""
     n = df.count()
-    df = corrupt_nulls(df, key, numeric, rate, seed)
-    df = corrupt_type_mismatch(df, key, numeric, rate, seed, n)
-    df = corrupt_typos(df, key, categorical, rate, seed, n)
-    return corrupt_duplicates_whitespace(df, key, categorical, rate, seed, n)
+    num = [c for c in numeric if c in df.columns]
+    cat = [c for c in categorical if c in df.columns]
+    hashes = {**_type_hashes(key, num, seed), **_typo_hashes(key, cat, seed), "dup": hash52(F.col(key), seed, "dup")}
+    ranks = {**{h: min(_k(n, rate, 0.3), n) - 1 for h in _type_hashes(key, num, seed)},
+             **{h: min(_k(n, rate, 0.2), n) - 1 for h in _typo_hashes(key, cat, seed)},
+             "dup": min(_k(n, rate, 0.1), n) - 1}
+    th = stats.kth_smallest(df, hashes, ranks, n)
+    out = corrupt_nulls(df, key, numeric, rate, seed)
+    out = _apply_type(out, key, num, th, seed)
+    out = _apply_typos(out, key, cat, th, seed)
+    return _apply_whitespace(_dup_rows(out, key, th["dup"], seed), key, categorical, rate, seed, n)

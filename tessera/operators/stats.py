@@ -59,7 +59,7 @@ def exact_quantiles(df: DataFrame, cols: dict[str, Column], probs: list[float],
                 targets[(n, rank)] = [ap[j], ap[len(probs) + j], None]
 
     minmax = {n: (r1[f"mn{i}"], r1[f"mx{i}"]) for i, n in enumerate(names)}
-    values = _resolve(_stack(df, cols), targets, minmax, max_local, buckets)
+    values = _resolve(_stack(df, cols), targets, minmax, max_local, buckets, max(counts.values()))
 
     out: dict[str, list[float | None]] = {}
     for n in names:
@@ -76,10 +76,15 @@ def exact_quantiles(df: DataFrame, cols: dict[str, Column], probs: list[float],
     return out
 
 
-def _resolve(stacked: DataFrame, targets: dict, minmax: dict, max_local: int, buckets: int) -> dict:
+def _resolve(stacked: DataFrame, targets: dict, minmax: dict, max_local: int, buckets: int,
+             n_max: int | None = None) -> dict:
     """Exact values at the target ranks, given approximate brackets."""
     if not targets:
         return {}
+    if n_max is not None and n_max * 4.0 / ACCURACY * len(targets) <= max_local:
+        fast = _resolve_one_pass(stacked, targets)
+        if fast is not None:
+            return fast
     # pass 2: verify brackets (rows below, rows inside) in one aggregation
     keys = list(targets)
     checks = []
@@ -102,6 +107,37 @@ def _resolve(stacked: DataFrame, targets: dict, minmax: dict, max_local: int, bu
     return _collect_ranks(stacked, targets)
 
 
+def _resolve_one_pass(stacked: DataFrame, targets: dict) -> dict | None:
+    """Rows below each bracket are counted and rows inside it are value-
+    counted in the same aggregation (one job). Used only when the brackets
+    are known to be small (sketch rank error * n); returns None when a
+    sketch bracket missed its rank, and the caller takes the checked path."""
+    below_tag = F.lit(float("-inf"))
+    items = []
+    for t, ((name, rank), (lo, hi, _)) in enumerate(targets.items()):
+        is_col = F.col("name") == name
+        bucket = F.when(F.col("v") < lo, below_tag).when(F.col("v") <= hi, F.col("v"))
+        items.append(F.when(is_col & bucket.isNotNull(), F.struct(F.lit(t).alias("t"), bucket.alias("b"))))
+    rows = (stacked.select(F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("x"))
+            .groupBy("x.t", "x.b").count().collect())
+    per: dict[int, list] = {}
+    for r in rows:
+        per.setdefault(r["t"], []).append((r["b"], r["count"]))
+    values = {}
+    for t, ((name, rank), (lo, hi, _)) in enumerate(targets.items()):
+        acc = 0
+        found = None
+        for b, c in sorted(per.get(t, [])):
+            if acc + c > rank:
+                found = b
+                break
+            acc += c
+        if found is None or found == float("-inf"):
+            return None
+        values[(name, rank)] = found
+    return values
+
+
 def kth_smallest(df: DataFrame, cols: dict[str, Column], ranks: dict[str, int], n: int,
                  max_local: int = 200_000, buckets: int = 4096) -> dict[str, float | None]:
     """Exact value at 0-based ``ranks[name]`` of each column (``n`` non-null
@@ -118,7 +154,7 @@ def kth_smallest(df: DataFrame, cols: dict[str, Column], ranks: dict[str, int],
     r1 = df.agg(*aggs).first()
     targets = {(name, ranks[name]): [r1[f"ap{i}"][0], r1[f"ap{i}"][1], None] for i, name in enumerate(cols)}
     minmax = {name: (r1[f"mn{i}"], r1[f"mx{i}"]) for i, name in enumerate(cols)}
-    values = _resolve(_stack(df, cols), targets, minmax, max_local, buckets)
+    values = _resolve(_stack(df, cols), targets, minmax, max_local, buckets, n)
     return {name: values.get((name, ranks[name])) for name in cols}
 
 
