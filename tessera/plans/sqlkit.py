@@ -247,3 +247,43 @@ def h52(*parts) -> str:
     pieces = [p if isinstance(p, Sql) else q(str(p)) for p in parts]
     key = "concat_ws('|', " + ", ".join(f"CAST({p} AS VARCHAR)" for p in pieces) + ")"
     return f"CAST(('0x' || substr(md5({key}), 1, 13))::BIGINT AS DOUBLE)"
+
+
+# ------------------------------------------------------- answer tables
+def answers_sql() -> str:
+    from tessera.sources.fixtures import DOMAINS, PERSONA_NAMES, PERSONA_ROLES
+    dom = pick(DOMAINS, "doc_id % 4")
+    cols = "(CASE " + dom + " " + " ".join(f"WHEN '{d}' THEN {arr(K.DOMAIN_COLUMNS[d])}" for d in DOMAINS) + " END)"
+    a, b = f"{cols}[doc_id % 12 + 1]", f"{cols}[(doc_id * 5 + 1) % 12 + 1]"
+    return f"""SELECT doc_id, {dom} AS domain, {pick(PERSONA_ROLES, 'doc_id % 3')} AS persona_role,
+        {pick(PERSONA_NAMES, '(doc_id * 7 + 3) % 4')} AS requested_persona, text AS answer,
+        CASE WHEN doc_id % 11 = 0 THEN []::VARCHAR[] WHEN doc_id % 3 = 0 THEN [{a}, {b}, 'Revenue'] ELSE [{a}, {b}] END
+          AS cited_columns,
+        CASE WHEN doc_id % 2 = 0 THEN floor({uni(Sql('doc_id'), 'judge')} * 10000) / 10000.0 END AS judge_score
+        FROM documents"""
+
+
+def action_text_sql() -> str:
+    from tessera.operators.actions import ALL_SOURCES
+    from tessera.sources.fixtures import DOMAINS
+    op = pick(K.DOMAIN_OPERATIONS, "(conv_id + turn) % 6")
+    col = pick(K.DOMAIN_COLUMNS["hr"], "turn % 12")
+    src = pick(ALL_SOURCES, "(conv_id * 3 + turn) % 20")
+    tool = pick(K.VALID_TOOLS + ["delete_table"], "(conv_id + 2 * turn) % 8")
+    top = pick(K.TOOL_OPERATIONS + ["explode"], "conv_id % 9")
+    kind = "(conv_id * 31 + turn) % 7"
+    ans = ('{"answer": "Attrition is highest in Sales", "cited_columns": ["Department", "Attrition"], '
+           '"reasoning": "grouped by department"}')
+    return f"""SELECT conv_id, turn, {pick(DOMAINS, 'conv_id % 4')} AS domain, CASE
+        WHEN {kind} = 0 THEN concat('{{"operation": "', {op}, '", "column": "', {col}, '", "value": "median"}}')
+        WHEN {kind} = 1 THEN concat('<think>', text, '</think> I will fix the type of "', {col}, '" now.')
+        WHEN {kind} = 2 THEN concat('{{"operation": "trim", "column": ', text)
+        WHEN {kind} = 3 THEN text
+        WHEN {kind} = 4 THEN concat('{{"tool": "', {tool}, '", "arguments": {{"operation": "', {top}, '", "column": "', {col}, '"}}}}')
+        WHEN {kind} = 5 THEN concat('Step 1: ', text, ' {{"tool": "', {tool}, '"}}')
+        ELSE concat(text, ' {{"operation": "add_field", "field_name": "', {src}, '", "source": "', {src}, {q('"} ' + ans)})
+        END AS output FROM conversations"""
+
+
+FIXTURE_SQL["answers"] = answers_sql
+FIXTURE_SQL["action_text"] = action_text_sql

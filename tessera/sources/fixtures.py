@@ -195,3 +195,66 @@ DOMAIN_VIEWS = {"hr": dom_hr, "sales": dom_sales, "pm": dom_pm, "it_ops": dom_it
 
 def domain_table(spark: SparkSession, sf_dir: str, domain: str) -> DataFrame:
     return DOMAIN_VIEWS[domain](spark, sf_dir)
+
+
+# ------------------------------------------------------------ answer tables
+DOMAINS = ["hr", "sales", "pm", "it_ops"]
+PERSONA_ROLES = ["executive", "manager", "ic"]
+PERSONA_NAMES = ["Executive", "Manager", "Individual Contributor", "Analyst"]
+VIEW_COLUMNS = {d: K.DOMAIN_COLUMNS[d] + (["EmployeeCount", "StandardHours"] if d == "hr" else [])
+                for d in DOMAINS}
+
+
+def domain_columns_map(columns: dict[str, list[str]] | None = None) -> Column:
+    cols = columns or K.DOMAIN_COLUMNS
+    return F.create_map(*[x for d in DOMAINS for x in (F.lit(d), F.array(*[F.lit(c) for c in cols[d]]))])
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One model answer per document: the whole document text is the answer;
+    domain, persona, requested persona and cited columns are derived from the
+    id; half the rows carry an external judge score."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    i = F.col("doc_id")
+    domain = _pick(DOMAINS, F.pmod(i, F.lit(4)))
+    cols = F.element_at(domain_columns_map(), domain)
+    a = F.element_at(cols, (F.pmod(i, F.lit(12)) + 1).cast("int"))
+    b = F.element_at(cols, (F.pmod(i * 5 + 1, F.lit(12)) + 1).cast("int"))
+    cited = (F.when(F.pmod(i, F.lit(11)) == 0, F.array().cast("array<string>"))
+             .when(F.pmod(i, F.lit(3)) == 0, F.array(a, b, F.lit("Revenue")))
+             .otherwise(F.array(a, b)))
+    return docs.select(
+        "doc_id", domain.alias("domain"),
+        _pick(PERSONA_ROLES, F.pmod(i, F.lit(3))).alias("persona_role"),
+        _pick(PERSONA_NAMES, F.pmod(i * 7 + 3, F.lit(4))).alias("requested_persona"),
+        F.col("text").alias("answer"), cited.alias("cited_columns"),
+        F.when(F.pmod(i, F.lit(2)) == 0, F.floor(hash_uniform(i, "judge") * 10000) / 10000.0).alias("judge_score"),
+    )
+
+
+def action_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model outputs built from the conversations: valid JSON actions, JSON
+    with nested arguments, broken JSON, reasoning-wrapped prose and plain
+    prose, chosen by (conv_id * 31 + turn) mod 7. Texts are kept whole."""
+    from tessera.operators.actions import ALL_SOURCES
+    cv = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    c, t = F.col("conv_id"), F.col("turn")
+    kind = F.pmod(c * 31 + t, F.lit(7))
+    op = _pick(K.DOMAIN_OPERATIONS, F.pmod(c + t, F.lit(6)))
+    col = _pick(K.DOMAIN_COLUMNS["hr"], F.pmod(t, F.lit(12)))
+    src = _pick(ALL_SOURCES, F.pmod(c * 3 + t, F.lit(20)))
+    tool = _pick(K.VALID_TOOLS + ["delete_table"], F.pmod(c + 2 * t, F.lit(8)))
+    top = _pick(K.TOOL_OPERATIONS + ["explode"], F.pmod(c, F.lit(9)))
+    txt = F.col("text")
+    L = F.lit
+    out = (F.when(kind == 0, F.concat(L('{"operation": "'), op, L('", "column": "'), col, L('", "value": "median"}')))
+           .when(kind == 1, F.concat(L("<think>"), txt, L('</think> I will fix the type of "'), col, L('" now.')))
+           .when(kind == 2, F.concat(L('{"operation": "trim", "column": '), txt))
+           .when(kind == 3, txt)
+           .when(kind == 4, F.concat(L('{"tool": "'), tool, L('", "arguments": {"operation": "'), top,
+                                     L('", "column": "'), col, L('"}}')))
+           .when(kind == 5, F.concat(L("Step 1: "), txt, L(' {"tool": "'), tool, L('"}')))
+           .otherwise(F.concat(txt, L(' {"operation": "add_field", "field_name": "'), src, L('", "source": "'), src,
+                               L('"} {"answer": "Attrition is highest in Sales", "cited_columns": ["Department", '
+                                 '"Attrition"], "reasoning": "grouped by department"}'))))
+    return cv.select("conv_id", "turn", _pick(DOMAINS, F.pmod(c, F.lit(4))).alias("domain"), out.alias("output"))
