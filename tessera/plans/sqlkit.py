@@ -287,3 +287,47 @@ def action_text_sql() -> str:
 
 FIXTURE_SQL["answers"] = answers_sql
 FIXTURE_SQL["action_text"] = action_text_sql
+
+
+# ------------------------------------------------------------ step logs
+def steps_sql() -> str:
+    from tessera.sources.fixtures import AGENTS, EVENT_TOOL, STEP_COLUMNS, TASK_IDS
+    day = "date_diff('day', DATE '2024-01-01', CAST(ts AS DATE))"
+    tool = "(CASE event_type " + " ".join(f"WHEN '{k}' THEN '{t}'" for k, t in EVENT_TOOL.items()) + " END)"
+    isop = f"({tool} = 'apply_cleaning_operation')"
+    e = Sql("event_id")
+    reward = (f"(CASE WHEN event_type = 'error' THEN {K.TOOL_ERROR_REWARD}::DOUBLE "
+              f"WHEN event_type = 'click' THEN floor({uni(e, 'reward')} * 3000) / 10000.0 - 0.1 "
+              f"WHEN event_type = 'purchase' THEN (CASE WHEN value > 25 THEN {K.GATE_BONUS_PASS}::DOUBLE "
+              f"ELSE {K.GATE_BONUS_FAIL}::DOUBLE END) END)")
+    return f"""SELECT user_id * 1000 + {day} AS episode_id, user_id AS run_id, {day} AS day, ts, event_id,
+        {pick(TASK_IDS, 'user_id % 3')} AS task_id, {pick(AGENTS, '(user_id // 3) % 3')} AS agent, {tool} AS tool_name,
+        CASE WHEN {isop} THEN {pick(K.TOOL_OPERATIONS, 'event_id % 8')} END AS operation,
+        CASE WHEN {isop} AND event_id % 8 <> 0 THEN {pick(STEP_COLUMNS, '(event_id // 8) % 5')} END AS "column",
+        CASE WHEN event_type = 'error' THEN 'Unknown column' END AS error, {reward} AS reward,
+        CASE WHEN event_type = 'signup' THEN floor({uni(e, 'final')} * 10000) / 10000.0 END AS final_reward,
+        CASE WHEN event_type = 'purchase' THEN value > 25 END AS passed,
+        CASE WHEN event_type = 'purchase' THEN 1 - value / 1000 END AS retention_ratio,
+        CASE WHEN event_type = 'signup' THEN value > 100 END AS report_passed,
+        CASE WHEN event_type = 'signup' THEN 1 - value / 2000 END AS report_retention
+        FROM events"""
+
+
+def metric_series_sql() -> str:
+    from tessera.sources.fixtures import CURVE_TASKS
+    day = "date_diff('day', DATE '2024-01-01', CAST(ts AS DATE))"
+    secs = "(hour(ts) * 3600 + minute(ts) * 60 + second(ts))"
+    epoch = f"((({day}) % 15) * 86400 + {secs}) / 432000.0"
+    e = Sql("event_id")
+    vals = {"train/epoch": epoch, "train/reward": "value / 100.0", "train/loss": "1.0 / (value + 1.0)",
+            "train/kl": "value / 1000.0", "train/reward_std": f"floor({uni(e, 'std')} * 1000) / 1000.0",
+            "train/rewards/format_reward/mean": f"floor({uni(e, 'fmt')} * 1000) / 1000.0"}
+    case = "(CASE m.metric " + " ".join(f"WHEN {q(k)} THEN CAST({v} AS DOUBLE)" for k, v in vals.items()) + " END)"
+    mlist = ", ".join(f"({q(k)})" for k in vals)
+    return f"""SELECT task, metric, value, row_number() OVER (PARTITION BY task, metric ORDER BY ts, event_id) - 1 AS idx
+        FROM (SELECT {pick(CURVE_TASKS, 'user_id % 3')} AS task, m.metric, ts, event_id, {case} AS value
+              FROM events, (VALUES {mlist}) m(metric))"""
+
+
+FIXTURE_SQL["steps"] = steps_sql
+FIXTURE_SQL["metric_series"] = metric_series_sql

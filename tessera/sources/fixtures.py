@@ -258,3 +258,65 @@ def action_text(spark: SparkSession, sf_dir: str) -> DataFrame:
                                L('"} {"answer": "Attrition is highest in Sales", "cited_columns": ["Department", '
                                  '"Attrition"], "reasoning": "grouped by department"}'))))
     return cv.select("conv_id", "turn", _pick(DOMAINS, F.pmod(c, F.lit(4))).alias("domain"), out.alias("output"))
+
+
+# --------------------------------------------------------------- step logs
+TASK_IDS = ["ecommerce_mobile", "subscription_churn", "delivery_eta"]
+AGENTS = ["heuristic", "random", "llm"]
+# How an event becomes a tool call.
+EVENT_TOOL = {"signup": "submit_solution", "view": "profile_data", "click": "apply_cleaning_operation",
+              "purchase": "run_quality_gates", "error": "apply_cleaning_operation"}
+STEP_COLUMNS = ["country", "items_in_cart", "device_os", "order_value", "event_date"]
+
+
+def _day(ts: Column) -> Column:
+    return F.datediff(ts.cast("date"), F.lit("2024-01-01").cast("date")).cast("long")
+
+
+def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agent step log: one episode per (user, day), one run per user; the
+    event type decides the tool; rewards, gate results and submit reports are
+    derived from the event (errors are invalid actions)."""
+    ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    e, u, et, v = F.col("event_id"), F.col("user_id"), F.col("event_type"), F.col("value")
+    tool = F.coalesce(*[F.when(et == k, F.lit(t)) for k, t in EVENT_TOOL.items()])
+    is_op = tool == "apply_cleaning_operation"
+    reward = (F.when(et == "error", F.lit(K.TOOL_ERROR_REWARD))
+              .when(et == "click", F.floor(hash_uniform(e, "reward") * 3000) / 10000.0 - 0.1)
+              .when(et == "purchase", F.when(v > 25, K.GATE_BONUS_PASS).otherwise(K.GATE_BONUS_FAIL)))
+    return ev.select(
+        (u * 1000 + _day(F.col("ts"))).alias("episode_id"), u.alias("run_id"), _day(F.col("ts")).alias("day"),
+        "ts", "event_id",
+        _pick(TASK_IDS, F.pmod(u, F.lit(3))).alias("task_id"),
+        _pick(AGENTS, F.pmod(F.floor(u / 3), F.lit(3))).alias("agent"),
+        tool.alias("tool_name"),
+        F.when(is_op, _pick(K.TOOL_OPERATIONS, F.pmod(e, F.lit(8)))).alias("operation"),
+        F.when(is_op & (F.pmod(e, F.lit(8)) != 0), _pick(STEP_COLUMNS, F.pmod(F.floor(e / 8), F.lit(5))))
+        .alias("column"),
+        F.when(et == "error", F.lit("Unknown column")).alias("error"),
+        reward.alias("reward"),
+        F.when(et == "signup", F.floor(hash_uniform(e, "final") * 10000) / 10000.0).alias("final_reward"),
+        F.when(et == "purchase", v > 25).alias("passed"),
+        F.when(et == "purchase", 1 - v / 1000).alias("retention_ratio"),
+        F.when(et == "signup", v > 100).alias("report_passed"),
+        F.when(et == "signup", 1 - v / 2000).alias("report_retention"),
+    )
+
+
+CURVE_TASKS = ["cleaning", "enrichment", "answering"]
+
+
+def metric_series_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(task, metric, ts, event_id, value) training-curve points: every event
+    is one logging step carrying epoch, reward, loss, kl, reward_std and one
+    reward component. Epochs restart every 15 days, which plants a reset."""
+    ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
+    e, ts, v = F.col("event_id"), F.col("ts"), F.col("value")
+    secs = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+    epoch = (F.pmod(_day(ts), F.lit(15)) * 86400 + secs) / 432000.0
+    points = [("train/epoch", epoch), ("train/reward", v / 100.0), ("train/loss", 1.0 / (v + 1.0)),
+              ("train/kl", v / 1000.0), ("train/reward_std", F.floor(hash_uniform(e, "std") * 1000) / 1000.0),
+              ("train/rewards/format_reward/mean", F.floor(hash_uniform(e, "fmt") * 1000) / 1000.0)]
+    arr = F.array(*[F.struct(F.lit(m).alias("metric"), x.cast("double").alias("value")) for m, x in points])
+    return ev.select(_pick(CURVE_TASKS, F.pmod(F.col("user_id"), F.lit(3))).alias("task"), "ts", "event_id",
+                     F.explode(arr).alias("p")).select("task", "p.metric", "ts", "event_id", "p.value")
