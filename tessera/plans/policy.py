@@ -99,6 +99,13 @@ ExprFn = Callable[[dict], Column]
 
 
 def _segment(df: DataFrame, steps: list[Step]) -> DataFrame:
+    return compile_projection(df, steps)(df)
+
+
+def compile_projection(df: DataFrame, steps: list[Step]):
+    """Statistics of ``df`` (batched per level) frozen into a function that
+    applies the row-local projection to any DataFrame with df's schema --
+    including a streaming one."""
     state: dict[str, tuple[ExprFn, int]] = {c: ((lambda st, c=c: F.col(c)), 0) for c in df.columns}
     types: dict[str, T.DataType] = {f.name: f.dataType for f in df.schema.fields}
     requests: list[tuple[int, str, str, ExprFn]] = []  # (level, kind, key, expr)
@@ -155,7 +162,8 @@ def _segment(df: DataFrame, steps: list[Step]) -> DataFrame:
         st.update(stats.means(df, m))
         md = {key: fn(st) for _, kind, key, fn in batch if kind == "mode"}
         st.update(stats.modes(df, md))
-    return df.select(*[state[c][0](st).alias(c) for c in df.columns])
+    cols = list(df.columns)
+    return lambda other: other.select(*[state[c][0](st).alias(c) for c in cols])
 
 
 def compile_policy(df: DataFrame, steps: list[Step]) -> DataFrame:

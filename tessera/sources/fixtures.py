@@ -38,8 +38,12 @@ def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as a messy operational table: nulls, invalid tokens and drifted
     case/padding in ``priority``, junk and outliers in the text ``price``, bad
     dates, and 3% appended duplicate rows (some of which drift apart)."""
-    o = read_table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    return dirty_orders_from(read_table(spark, sf_dir, "orders"))
+
+
+def dirty_orders_from(orders: DataFrame) -> DataFrame:
+    """The dirty_orders projection of an orders DataFrame (batch or stream)."""
+    o = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
     rows = o.select("*", _copies(F.col("o_orderkey"), 0.03, "dup").alias("_copy"))
     k, cp = F.col("o_orderkey"), F.col("_copy")
     pri = F.lower(F.substring(F.col("o_orderpriority"), 3, 100))
@@ -277,7 +281,12 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agent step log: one episode per (user, day), one run per user; the
     event type decides the tool; rewards, gate results and submit reports are
     derived from the event (errors are invalid actions)."""
-    ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    return steps_from(read_table(spark, sf_dir, "events"))
+
+
+def steps_from(events: DataFrame) -> DataFrame:
+    """The step-log projection of an events DataFrame (batch or stream)."""
+    ev = events.select("event_id", "ts", "user_id", "event_type", "value")
     e, u, et, v = F.col("event_id"), F.col("user_id"), F.col("event_type"), F.col("value")
     tool = F.coalesce(*[F.when(et == k, F.lit(t)) for k, t in EVENT_TOOL.items()])
     is_op = tool == "apply_cleaning_operation"
