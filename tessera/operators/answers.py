@@ -85,7 +85,7 @@ def sample_values(domain_tables: dict[str, tuple[DataFrame, str]], k: int = 10)
         items = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in cols]
         long = (df.select(F.col(key).cast("string").alias("_k"), F.explode(F.array(*items)).alias("x"))
                 .select("_k", "x.column_name", "x.value").where(F.col("value").isNotNull()))
-        w = W.partitionBy("column_name").orderBy("_k")
+        w = W.partitionBy("column_name").orderBy("_k", "value")
         top = long.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
         agg = top.groupBy("column_name").agg(
             F.transform(F.sort_array(F.collect_list(F.struct("rn", "value"))), lambda x: x["value"]).alias("values"))

@@ -142,15 +142,20 @@ def _null_sel(d: str, cols: list[str]) -> str:
                      for c in cols)
 
 
+def _kth_sql(h: str, rel: str, k: str) -> str:
+    """k-th smallest value of ``h`` over ``rel`` (rows with h <= it are the
+    chosen ones, ties included -- the same rule as the Spark threshold)."""
+    return f"(SELECT max(h) FROM (SELECT h, row_number() OVER (ORDER BY h) AS rn FROM (SELECT {h} AS h FROM {rel})) WHERE rn <= {k})"
+
+
 def _type_ctes(d: str, rel: str, out: str) -> list[tuple[str, str]]:
     k = Sql(DOMAIN_KEYS[d])
     num = K.DOMAIN_NUMERIC[d]
-    ranks = ", ".join(f"row_number() OVER (ORDER BY {h52(k, SEED, c, 'type')}) AS _r_{c}" for c in num)
+    th = {c: _kth_sql(h52(k, SEED, c, "type"), rel, _kexpr(0.3, f"(SELECT count(*) FROM {rel})")) for c in num}
     sel = ", ".join(
-        f"CASE WHEN _r_{c} <= {_kexpr(0.3)} THEN {hpick(uni(k, SEED, c, 'type_tok'), K.TYPE_MISMATCH_TOKENS)} "
+        f"CASE WHEN {h52(k, SEED, c, 'type')} <= {th[c]} THEN {hpick(uni(k, SEED, c, 'type_tok'), K.TYPE_MISMATCH_TOKENS)} "
         f"ELSE {_text(c)} END AS {c}" if c in num else c for c in K.DOMAIN_COLUMNS[d])
-    return [(f"{out}_r", f"SELECT *, {ranks} FROM {rel}"),
-            (out, f"SELECT {sel} FROM {out}_r, (SELECT count(*) AS n FROM {rel})")]
+    return [(out, f"SELECT {sel} FROM {rel}")]
 
 
 def _typo_sql(t: str, k: Sql, c: str) -> str:
@@ -171,11 +176,10 @@ def _typo_sql(t: str, k: Sql, c: str) -> str:
 def _typo_ctes(d: str, rel: str, out: str, n_rel: str) -> list[tuple[str, str]]:
     k = Sql(DOMAIN_KEYS[d])
     cat = K.DOMAIN_CATEGORICAL[d]
-    ranks = ", ".join(f"row_number() OVER (ORDER BY {h52(k, SEED, c, 'typo')}) AS _t_{c}" for c in cat)
-    sel = ", ".join(f"CASE WHEN _t_{c} <= {_kexpr(0.2)} THEN {_typo_sql(f'CAST({c} AS VARCHAR)', k, c)} "
+    th = {c: _kth_sql(h52(k, SEED, c, "typo"), rel, _kexpr(0.2, f"(SELECT count(*) FROM {n_rel})")) for c in cat}
+    sel = ", ".join(f"CASE WHEN {h52(k, SEED, c, 'typo')} <= {th[c]} THEN {_typo_sql(f'CAST({c} AS VARCHAR)', k, c)} "
                     f"ELSE CAST({c} AS VARCHAR) END AS {c}" if c in cat else c for c in K.DOMAIN_COLUMNS[d])
-    return [(f"{out}_r", f"SELECT *, {ranks} FROM {rel}"),
-            (out, f"SELECT {sel} FROM {out}_r, (SELECT count(*) AS n FROM {n_rel})")]
+    return [(out, f"SELECT {sel} FROM {rel}")]
 
 
 def _dupws_ctes(d: str, rel: str, out: str, n_rel: str) -> list[tuple[str, str]]:
@@ -183,18 +187,18 @@ def _dupws_ctes(d: str, rel: str, out: str, n_rel: str) -> list[tuple[str, str]]
     cols = K.DOMAIN_COLUMNS[d]
     ws = K.DOMAIN_CATEGORICAL[d][:2]
     rk = Sql("_rk")
-    kd = _kexpr(0.1)
-    kws = f"least({_kexpr(0.2)}, n + {kd})"
-    ranks = ", ".join(f"row_number() OVER (ORDER BY {h52(rk, SEED, c, 'ws')}) AS _w_{c}" for c in ws)
-    sel = ", ".join(f"CASE WHEN _w_{c} <= {kws} THEN '  ' || CAST({c} AS VARCHAR) || '  ' ELSE {c} END AS {c}"
+    n = f"(SELECT count(*) FROM {n_rel})"
+    kd = _kexpr(0.1, n)
+    kws = f"least({_kexpr(0.2, n)}, {n} + {kd})"
+    th_d = _kth_sql(h52(k, SEED, "dup"), rel, kd)
+    th = {c: _kth_sql(h52(rk, SEED, c, "ws"), f"{out}_b", kws) for c in ws}
+    sel = ", ".join(f"CASE WHEN {h52(rk, SEED, c, 'ws')} <= {th[c]} THEN '  ' || CAST({c} AS VARCHAR) || '  ' ELSE {c} END AS {c}"
                     if c in ws else c for c in cols)
     return [
-        (f"{out}_a", f"SELECT *, row_number() OVER (ORDER BY {h52(k, SEED, 'dup')}) AS _rd FROM {rel}"),
         (f"{out}_b", f"SELECT *, concat_ws('#', CAST({DOMAIN_KEYS[d]} AS VARCHAR), CAST(_copy AS VARCHAR)) AS _rk "
-                     f"FROM (SELECT *, unnest(range(0, CASE WHEN _rd <= {kd} THEN 2 ELSE 1 END)) AS _copy "
-                     f"FROM {out}_a, (SELECT count(*) AS n FROM {n_rel}))"),
-        (f"{out}_c", f"SELECT *, {ranks} FROM {out}_b"),
-        (out, f"SELECT {sel}, _copy FROM {out}_c"),
+                     f"FROM (SELECT *, unnest(range(0, CASE WHEN {h52(k, SEED, 'dup')} <= {th_d} THEN 2 ELSE 1 END)) AS _copy "
+                     f"FROM {rel})"),
+        (out, f"SELECT {sel}, _copy FROM {out}_b"),
     ]
 
 

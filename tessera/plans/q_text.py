@@ -169,7 +169,7 @@ def _samples_sql() -> str:
             parts.append(f"SELECT '{d}' AS domain, '{c}' AS column_name, CAST({_KEYS[d]} AS VARCHAR) AS k, "
                          f"CAST({c} AS VARCHAR) AS value FROM dom_{d} WHERE {c} IS NOT NULL")
     return ("SELECT domain, column_name, list(value ORDER BY rn) AS vals FROM (SELECT *, row_number() OVER "
-            "(PARTITION BY domain, column_name ORDER BY k) AS rn FROM (" + " UNION ALL ".join(parts)
+            "(PARTITION BY domain, column_name ORDER BY k, value) AS rn FROM (" + " UNION ALL ".join(parts)
             + ")) WHERE rn <= 10 GROUP BY domain, column_name")
 
 

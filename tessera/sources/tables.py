@@ -43,7 +43,8 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None, multiline: bool = False) -> DataFrame:
+def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
+              multiline: bool = False) -> DataFrame:
     reader = spark.read.option("multiLine", multiline)
     if schema is not None:
         reader = reader.schema(schema)
