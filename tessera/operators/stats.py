@@ -108,31 +108,48 @@ def _resolve(stacked: DataFrame, targets: dict, minmax: dict, max_local: int, bu
 
 
 def _resolve_one_pass(stacked: DataFrame, targets: dict) -> dict | None:
-    """Rows below each bracket are counted and rows inside it are value-
-    counted in the same aggregation (one job). Used only when the brackets
-    are known to be small (sketch rank error * n); returns None when a
-    sketch bracket missed its rank, and the caller takes the checked path."""
-    below_tag = F.lit(float("-inf"))
-    items = []
-    for t, ((name, rank), (lo, hi, _)) in enumerate(targets.items()):
+    """One aggregation, one entry per value: a value inside some bracket is
+    kept exactly; any other value only as its segment (how many bracket
+    bounds lie below it), which is enough to count the rows below every
+    bracket. Used when the brackets are known to be small (sketch rank error
+    x n); returns None when a sketch bracket missed its rank so the caller
+    takes the checked path."""
+    bounds: dict[str, list[float]] = {}
+    for (name, _), (lo, hi, _) in targets.items():
+        bounds.setdefault(name, set()).update([lo, hi])
+    bounds = {n: sorted(b) for n, b in bounds.items()}
+    v = F.col("v")
+    inside = None
+    seg = None
+    for name, bs in bounds.items():
         is_col = F.col("name") == name
-        bucket = F.when(F.col("v") < lo, below_tag).when(F.col("v") <= hi, F.col("v"))
-        items.append(F.when(is_col & bucket.isNotNull(), F.struct(F.lit(t).alias("t"), bucket.alias("b"))))
-    rows = (stacked.select(F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("x"))
-            .groupBy("x.t", "x.b").count().collect())
-    per: dict[int, list] = {}
+        cond = None
+        for (nm, _), (lo, hi, _) in targets.items():
+            if nm == name:
+                c = v.between(lo, hi)
+                cond = c if cond is None else (cond | c)
+        s_expr = sum((F.when(v > b, 1).otherwise(0) for b in bs[1:]), F.when(v > bs[0], 1).otherwise(0))
+        inside = F.when(is_col, cond) if inside is None else inside.when(is_col, cond)
+        seg = F.when(is_col, s_expr) if seg is None else seg.when(is_col, s_expr)
+    exact = F.when(inside, v)
+    rows = (stacked.select("name", F.when(exact.isNull(), seg).alias("seg"), exact.alias("x"))
+            .groupBy("name", "seg", "x").count().collect())
+    per: dict[str, list] = {}
     for r in rows:
-        per.setdefault(r["t"], []).append((r["b"], r["count"]))
+        per.setdefault(r["name"], []).append((r["seg"], r["x"], r["count"]))
     values = {}
-    for t, ((name, rank), (lo, hi, _)) in enumerate(targets.items()):
-        acc = 0
+    for (name, rank), (lo, hi, _) in targets.items():
+        idx_lo = bounds[name].index(lo)
+        entries = per.get(name, [])
+        below = sum(c for sg, x, c in entries if (x is None and sg <= idx_lo) or (x is not None and x < lo))
+        acc = below
         found = None
-        for b, c in sorted(per.get(t, [])):
+        for x, c in sorted((x, c) for sg, x, c in entries if x is not None and lo <= x <= hi):
             if acc + c > rank:
-                found = b
+                found = x
                 break
             acc += c
-        if found is None or found == float("-inf"):
+        if found is None or below > rank:
             return None
         values[(name, rank)] = found
     return values

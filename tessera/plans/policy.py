@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from typing import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -148,6 +149,11 @@ def compile_projection(df: DataFrame, steps: list[Step]):
             raise ValueError(f"Unsupported operation '{op}'.")
 
     st: dict = {}
+    src = df
+    if requests:
+        # every statistics pass re-reads df: keep it (spilling to disk) for
+        # the duration of the passes, then release it
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
     for level in sorted({r[0] for r in requests}):
         batch = [r for r in requests if r[0] == level]
         q = {key: fn(st) for _, kind, key, fn in batch if kind in ("median", "iqr")}
@@ -162,7 +168,9 @@ def compile_projection(df: DataFrame, steps: list[Step]):
         st.update(stats.means(df, m))
         md = {key: fn(st) for _, kind, key, fn in batch if kind == "mode"}
         st.update(stats.modes(df, md))
-    cols = list(df.columns)
+    if requests:
+        df.unpersist()
+    cols = list(src.columns)
     return lambda other: other.select(*[state[c][0](st).alias(c) for c in cols])
 
 
