@@ -20,10 +20,10 @@ MODULES = [
     "tessera.plans.q_enrich",
     "tessera.plans.q_weak",
     "tessera.plans.q_text",
-    "tessera.plans.q_rewards",
     "tessera.plans.q_trajectory",
     "tessera.plans.q_standardize",
     "tessera.plans.q_streaming",
+    "tessera.plans.q_extensions",
 ]
 
 
