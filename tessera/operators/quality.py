@@ -226,3 +226,72 @@ def snapshot(df: DataFrame, spec: dict) -> DataFrame:
         (F.count(F.lit(1)) - F.count_distinct(F.struct(*cols))).alias("n_duplicate_rows"),
         (sum(bad[1:], bad[0]) if bad else F.lit(0).cast("long")).alias("n_invalid_type_cells"),
         F.lit(round(type_match(df, spec["expected_types"]), 4)).alias("schema_consistency"))
+
+
+# ------------------------------------------------------- stability probe
+ORDINAL_EPOCH = 719163  # date.toordinal() of 1970-01-01
+
+
+def encode_features(df: DataFrame, target: str) -> DataFrame:
+    """Model-ready numbers: numeric NULL -> 0, dates -> ordinal day, text ->
+    index in the sorted distinct values (NULL read as 'missing').
+
+    The label index is computed without collecting labels to the driver:
+    distinct values per column are ranked with the range-partitioned prefix
+    and joined back, so high-cardinality text columns stay distributed."""
+    from tessera.operators.trajectory import ordered_prefix
+    out = df
+    for f in df.schema.fields:
+        c = f.name
+        if c == target or c.startswith("_"):
+            continue
+        if is_numeric_type(f.dataType):
+            out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
+        elif isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            days = F.datediff(F.col(c).cast("date"), F.lit("1970-01-01").cast("date")) + ORDINAL_EPOCH
+            out = out.withColumn(c, F.coalesce(days, F.lit(0)).cast("double"))
+        else:
+            text = F.coalesce(F.col(c).cast("string"), F.lit("missing"))
+            vals = out.select(text.alias("_v")).distinct()
+            ranked = ordered_prefix(vals, [], ["_v"], {}).select("_v", F.col("idx").cast("double").alias("_i"))
+            out = (out.withColumn("_v", text).join(ranked, "_v", "left").drop("_v", c)
+                   .withColumnRenamed("_i", c))
+    return out.select(*df.columns)
+
+
+def stability_probe(df: DataFrame, target: str, task_type: str, key: str, folds: int = 3,
+                    seed: int = 42) -> dict:
+    """Spread of a 25-tree random forest's held-out score over hash-assigned
+    folds (accuracy, or max(0, 1 - MAE / mean|y|) for regression). Fewer
+    than 8 rows, or no target, fails with std 1."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+    from tessera.functions.exprs import hash52
+    if target not in df.columns:
+        return {"score_mean": 0.0, "score_std": 1.0, "n_folds": 0}
+    n = df.count()
+    if n < 8:
+        return {"score_mean": 0.0, "score_std": 1.0, "n_folds": 0}
+    enc = encode_features(df, target)
+    feats = [c for c in enc.columns if c != target and not c.startswith("_")]
+    data = VectorAssembler(inputCols=feats, outputCol="features").transform(enc).select(
+        "features", F.col(target).cast("double").alias("label"),
+        F.pmod(hash52(F.col(key), seed, "fold").cast("long"), F.lit(folds)).alias("fold"))
+    data = data.checkpoint(eager=True)  # folds re-read the same encoded table
+    scores = []
+    for k in range(folds):
+        train, test = data.where(F.col("fold") != k), data.where(F.col("fold") == k)
+        if task_type == "classification":
+            model = RandomForestClassifier(numTrees=25, seed=seed).fit(train)
+            pred = model.transform(test)
+            scores.append(pred.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0] or 0.0)
+        else:
+            model = RandomForestRegressor(numTrees=25, seed=seed).fit(train)
+            pred = model.transform(test)
+            row = pred.agg(F.avg(F.abs(F.col("prediction") - F.col("label"))).alias("mae"),
+                           F.avg(F.abs("label")).alias("m")).first()
+            scores.append(max(0.0, 1.0 - (row["mae"] or 0.0) / max(row["m"] or 0.0, 1e-6)))
+    mean = sum(scores) / len(scores)
+    std = (sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5
+    return {"score_mean": round(mean, 4), "score_std": round(std, 4), "n_folds": len(scores)}

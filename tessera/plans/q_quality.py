@@ -379,3 +379,107 @@ def clean_correct_rarest(spark, sf):
     """No ``wrong`` value given: the least frequent value is replaced."""
     return C.correct_typo(corrupted_domain(spark, sf, "hr"), "JobRole", "Manager").select(
         "EmployeeID", "_copy", "JobRole")
+
+
+# --------------------------------------------------- stability / encoding
+from tessera.operators import clean as _C  # noqa: E402
+from tessera.plans import sql_tasks as ST  # noqa: E402
+from tessera.plans.policy import TASK_POLICIES  # noqa: E402
+from tessera.sources import tasks as TK  # noqa: E402
+
+
+def _clean_ecommerce(spark, sf):
+    return compile_policy(TK.dirty_task(spark, sf, "ecommerce_mobile"), TASK_POLICIES["ecommerce_mobile"])
+
+
+def _encode_sql() -> str:
+    ctes, last = ST.noise_ctes("ecommerce_mobile", "n")
+    pctes, plast = ST.policy_ctes(last, ST.task_columns("ecommerce_mobile"), ST.dirty_types("ecommerce_mobile"),
+                                  TASK_POLICIES["ecommerce_mobile"])
+    text_cols = ["device_os", "customer_id", "country"]
+    ranks = [(f"r_{c}", f"SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS DOUBLE) AS i FROM "
+                        f"(SELECT DISTINCT coalesce(CAST({c} AS VARCHAR), 'missing') AS v FROM {plast})") for c in text_cols]
+    sel = ["t._seq", "coalesce(CAST(t.session_id AS DOUBLE), 0.0) AS session_id"]
+    sel += [f"r_{c}.i AS {c}" for c in text_cols]
+    sel += [f"coalesce(CAST(t.{c} AS DOUBLE), 0.0) AS {c}" for c in ["items_in_cart", "order_value"]]
+    sel += ["coalesce(CAST(date_diff('day', DATE '1970-01-01', CAST(t.event_date AS DATE)) + 719163 AS DOUBLE), 0.0) "
+            "AS event_date", "t.converted"]
+    joins = " ".join(f"LEFT JOIN r_{c} ON coalesce(CAST(t.{c} AS VARCHAR), 'missing') = r_{c}.v" for c in text_cols)
+    body = f"SELECT {', '.join(sel)} FROM {plast} t {joins}"
+    return "WITH " + ",\n".join(f"{n} AS ({s})" for n, s in ctes + pctes + ranks) + "\n" + body
+
+
+@register("encode_features", _encode_sql)
+def encode_features(spark, sf):
+    """Cleaned ecommerce table encoded for model fitting."""
+    return Q.encode_features(_clean_ecommerce(spark, sf), "converted")
+
+
+@register("gate_stability")
+def gate_stability(spark, sf):
+    """Random-forest stability probe of the cleaned ecommerce table
+    (Spark ML; scores are not comparable across ML libraries, so rows-only)."""
+    res = Q.stability_probe(_clean_ecommerce(spark, sf), "converted", "classification", "session_id")
+    return spark.createDataFrame([(res["score_mean"], res["score_std"], res["n_folds"], res["score_std"] <= 0.15)],
+                                 "score_mean double, score_std double, n_folds int, passed boolean")
+
+
+# ------------------------------------------------- per-operation deltas
+def _step_types(steps, types0):
+    """Logical type names after each step (mirrors the policy's tracking)."""
+    types = dict(types0)
+    out = []
+    for op, col, *_ in steps:
+        if op in ("cast_numeric", "impute_numeric", "clip_outliers_iqr"):
+            types[col] = "double"
+        elif op == "cast_datetime":
+            types[col] = "timestamp_ntz"
+        elif op in ("normalize_categories", "impute_categorical"):
+            types[col] = "string"
+        out.append(dict(types))
+    return out
+
+
+DO_TYPES0 = {"order_id": "bigint", "customer_id": "string", "priority": "string", "price": "string",
+             "order_date": "string", "status": "string"}
+
+
+def _tm(types):
+    exp = DO["expected_types"]
+    return sum(1 for c, t in exp.items() if types.get(c) == t) / len(exp)
+
+
+def _delta_sql() -> str:
+    kinds = {c: ("num" if t == "bigint" else "str") for c, t in DO_TYPES0.items()}
+    pctes, _ = ST.policy_ctes("dirty_orders", DO_COLS, kinds, ORDERS_POLICY)
+    rels = ["dirty_orders"] + [n for n, _ in pctes]
+    tms = [_tm(DO_TYPES0)] + [_tm(t) for t in _step_types(ORDERS_POLICY, DO_TYPES0)]
+    q = [f"SELECT {i} AS k, {R(_qscore_sql(tms[i]), 4)} AS q FROM ({_stats_sql(r, 'status')}), "
+         f"(SELECT count(*) AS raw_n FROM dirty_orders)" for i, r in enumerate(rels)]
+    ops = " UNION ALL ".join(f"SELECT {i + 1} AS step, {S.q(op)} AS operation, {S.q(col) if col else 'NULL'} AS column"
+                             for i, (op, col, *_) in enumerate(ORDERS_POLICY))
+    body = (f"SELECT o.step, o.operation, o.column, b.q AS quality_before, a.q AS quality_after, "
+            f"{R('greatest(-0.15, a.q - b.q - 0.02)', 4)} AS reward FROM ({ops}) o "
+            "JOIN qs b ON b.k = o.step - 1 JOIN qs a ON a.k = o.step")
+    return S.with_fixtures(["dirty_orders"], body, pctes + [("qs", " UNION ALL ".join(q))])
+
+
+@register("quality_delta_per_op", _delta_sql)
+def quality_delta_per_op(spark, sf):
+    """Quality score before/after each operation of the orders policy and
+    the shaped step reward. One stats row per intermediate table, all in one
+    union job; deltas on the driver over ~10 numbers."""
+    raw = _orders(spark, sf)
+    raw_n = raw.count()
+    tables = [raw]
+    for op, col, *_ in ORDERS_POLICY:
+        tables.append(_C.apply_tool_operation(tables[-1], op, col))
+    scores = None
+    for i, t in enumerate(tables):
+        s = Q.quality_score(t, raw_n, DO).select(F.lit(i).alias("k"), "quality_score")
+        scores = s if scores is None else scores.unionByName(s)
+    qs = {r["k"]: r["quality_score"] for r in scores.collect()}
+    rows = [(i + 1, op, col, qs[i], qs[i + 1], round(max(-0.15, qs[i + 1] - qs[i] - 0.02), 4))
+            for i, (op, col, *_) in enumerate(ORDERS_POLICY)]
+    return spark.createDataFrame(rows, "step int, operation string, column string, quality_before double, "
+                                       "quality_after double, reward double")
