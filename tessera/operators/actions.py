@@ -208,3 +208,36 @@ def methodology_score(text: Column) -> Column:
          + F.when(has_any(low, GATE_WORDS), 0.2).otherwise(0.0)
          + F.when(has_any(low, STABILITY_WORDS), 0.3).otherwise(0.0))
     return F.least(s, F.lit(1.0))
+
+
+def parse_tool_strict(text: Column) -> Column:
+    """JSON-only tool call: the brace group's tool (any value, as text) and
+    arguments, else profile_data with no arguments."""
+    m = brace_group(text, "tool")
+    ok = _valid(m)
+    return F.struct(
+        F.when(ok, F.coalesce(json_str(m, "tool"), F.lit("profile_data"))).otherwise(F.lit("profile_data")).alias("tool"),
+        F.when(ok, F.get_json_object(m, "$.arguments.operation")).alias("operation"),
+        F.when(ok, F.get_json_object(m, "$.arguments.column")).alias("column"))
+
+
+def parse_any_json(text: Column) -> Column:
+    """First flat ``{...}`` that parses: its keys (in order) and common
+    fields; otherwise an empty result."""
+    m = F.regexp_extract(text, "(?s)\\{[^{}]*\\}", 0)
+    ok = _valid(m)
+    return F.struct(ok.alias("has_json"), F.when(ok, F.array_join(json_keys(m), ",")).alias("keys"),
+                    F.when(ok, json_str(m, "operation")).alias("operation"),
+                    F.when(ok, json_str(m, "tool")).alias("tool"))
+
+
+# Validation messages of the tool environment.
+def validate_tool_call(tool: Column, operation: Column, column: Column, columns: list[str]) -> Column:
+    """Error text for an invalid cleaning call (NULL when valid)."""
+    is_apply = tool == "apply_cleaning_operation"
+    return (F.when(~is_apply, F.lit(None))
+            .when(operation.isNull() | ~operation.isin(K.TOOL_OPERATIONS),
+                  F.concat(F.lit("Unsupported operation '"), F.coalesce(operation, F.lit("None")), F.lit("'.")))
+            .when(operation == "drop_duplicates", F.lit(None))
+            .when(column.isNull(), F.concat(F.lit("Operation '"), operation, F.lit("' requires a column.")))
+            .when(~column.isin(columns), F.concat(F.lit("Unknown column '"), column, F.lit("'."))))

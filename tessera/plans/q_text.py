@@ -478,3 +478,57 @@ def view_answers(spark, sf):
 @register("view_action_text", lambda: _wt("SELECT * FROM action_text"))
 def view_action_text(spark, sf):
     return _act(spark, sf)
+
+
+# ---------------------------------------------------- strict parsers
+@register("parse_tool_strict", lambda: _wt(
+    "SELECT conv_id, turn, CASE WHEN " + valid_sql(brace_sql("output", "tool")) + " THEN coalesce("
+    + jstr_sql(brace_sql("output", "tool"), "tool") + ", 'profile_data') ELSE 'profile_data' END AS tool, "
+    "CASE WHEN " + valid_sql(brace_sql("output", "tool")) + " THEN " + jstr_sql(brace_sql("output", "tool"), "arguments.operation")
+    + " END AS operation, CASE WHEN " + valid_sql(brace_sql("output", "tool")) + " THEN "
+    + jstr_sql(brace_sql("output", "tool"), "arguments.column") + " END AS column FROM action_text"))
+def parse_tool_strict(spark, sf):
+    df = _act(spark, sf)
+    return _struct_out(df, A.parse_tool_strict(F.col("output")), ["tool", "operation", "column"])
+
+
+def _any_sql() -> str:
+    m = "regexp_extract(output, '(?s)[{][^{}]*[}]', 0)"
+    ok = valid_sql(m)
+    return (f"SELECT conv_id, turn, {ok} AS has_json, CASE WHEN {ok} THEN array_to_string(json_keys({m}), ',') END AS keys, "
+            f"CASE WHEN {ok} THEN {jstr_sql(m, 'operation')} END AS operation, "
+            f"CASE WHEN {ok} THEN {jstr_sql(m, 'tool')} END AS tool FROM action_text")
+
+
+@register("parse_any_json", lambda: _wt(_any_sql()))
+def parse_any_json(spark, sf):
+    df = _act(spark, sf)
+    return _struct_out(df, A.parse_any_json(F.col("output")), ["has_json", "keys", "operation", "tool"])
+
+
+_EC_COLS = ["session_id", "device_os", "customer_id", "country", "items_in_cart", "order_value", "event_date",
+            "converted"]
+
+
+def _validation_sql() -> str:
+    ops = ", ".join(q(o) for o in K.TOOL_OPERATIONS)
+    cols = ", ".join(q(c) for c in _EC_COLS)
+    err = ("CASE WHEN tool <> 'apply_cleaning_operation' THEN NULL "
+           f"WHEN operation IS NULL OR operation NOT IN ({ops}) THEN concat('Unsupported operation ''', coalesce(operation, 'None'), '''.') "
+           "WHEN operation = 'drop_duplicates' THEN NULL "
+           "WHEN \"column\" IS NULL THEN concat('Operation ''', operation, ''' requires a column.') "
+           f"WHEN \"column\" NOT IN ({cols}) THEN concat('Unknown column ''', \"column\", '''.') END")
+    return _wt(f"SELECT conv_id, turn, tool, {err} AS error, CASE WHEN ({err}) IS NOT NULL THEN -0.2 END AS reward "
+               f"FROM (SELECT conv_id, turn, {tool_parse_sql('output')} FROM action_text)")
+
+
+@register("op_validation", _validation_sql)
+def op_validation(spark, sf):
+    """Parsed tool calls checked against the ecommerce task: unknown
+    operation / missing column / unknown column become an error row with
+    the tool-error reward."""
+    df = _act(spark, sf)
+    p = A.parse_tool_action(F.col("output"))
+    err = A.validate_tool_call(p["tool"], p["operation"], p["column"], _EC_COLS)
+    return df.select("conv_id", "turn", p["tool"].alias("tool"), err.alias("error"),
+                     F.when(err.isNotNull(), F.lit(K.TOOL_ERROR_REWARD)).alias("reward"))

@@ -571,3 +571,19 @@ def curve_stats(spark, sf):
     "floor(ceil(s.idx * 100 / l.n) * l.n / 100) = s.idx)"))
 def curve_downsample(spark, sf):
     return T.curve_downsample(_series(spark, sf))
+
+
+@register("pipeline_metrics_episode", lambda: _we(
+    "SELECT e.episode_id, " + R("d.dq_before", 4) + " AS initial_dq, " + R("d.dq_after", 4) + " AS final_dq, "
+    + R("d.dq_after - d.dq_before", 4) + " AS dq_improvement, " + R("e.total_return", 4) + " AS total_reward, "
+    + R("e.total_return / greatest(e.steps, 1)", 4) + " AS avg_reward, e.steps FROM episodes e JOIN dq d USING (episode_id)",
+    [("dq", _dq_pair_sql())]))
+def pipeline_metrics_episode(spark, sf):
+    """Per episode: initial/final DQ, improvement, total and mean reward."""
+    eps = _episodes(spark, sf)
+    d = _dq_pair(spark, sf)
+    j = eps.join(d.drop("run_id"), "episode_id")
+    return j.select("episode_id", F.round("dq_before", 4).alias("initial_dq"), F.round("dq_after", 4).alias("final_dq"),
+                    F.round(F.col("dq_after") - F.col("dq_before"), 4).alias("dq_improvement"),
+                    F.round("total_return", 4).alias("total_reward"),
+                    F.round(F.col("total_return") / F.greatest("steps", F.lit(1)), 4).alias("avg_reward"), "steps")
