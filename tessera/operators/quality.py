@@ -278,6 +278,8 @@ def stability_probe(df: DataFrame, target: str, task_type: str, key: str, folds:
     data = VectorAssembler(inputCols=feats, outputCol="features").transform(enc).select(
         "features", F.col(target).cast("double").alias("label"),
         F.pmod(hash52(F.col(key), seed, "fold").cast("long"), F.lit(folds)).alias("fold"))
+    from tessera.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
     data = data.checkpoint(eager=True)  # folds re-read the same encoded table
     scores = []
     for k in range(folds):
