@@ -54,7 +54,8 @@ def ordered_prefix(df: DataFrame, group: list[str], order: list[str], values: di
     return out.drop(*drop, "_one", "_pid")
 
 
-def episode_metrics(steps: DataFrame, episode: str = "episode_id", order: tuple = ("ts", "event_id")) -> DataFrame:
+def episode_metrics(steps: DataFrame, episode: str = "episode_id", order: tuple = ("ts", "event_id"),
+                    extra: list[Column] | None = None) -> DataFrame:
     """Per episode: total return, steps, invalid actions, and gate pass /
     retention read from the last step's result (a nested report overrides).
 
@@ -66,10 +67,11 @@ def episode_metrics(steps: DataFrame, episode: str = "episode_id", order: tuple
         F.sum(F.coalesce(F.col("reward"), F.lit(0.0))).alias("total_return"),
         F.count(F.lit(1)).alias("steps"),
         F.count_if(F.col("error").isNotNull()).alias("invalid_actions"),
-        last.alias("_last"))
+        last.alias("_last"), *(extra or []))
     passed = F.coalesce(F.col("_last.report_passed"), F.col("_last.passed"))
+    extra_names = [c for c in agg.columns if c not in (episode, "total_return", "steps", "invalid_actions", "_last")]
     return agg.select(
-        episode, F.round("total_return", 6).alias("total_return"), "steps", "invalid_actions",
+        episode, *extra_names, F.round("total_return", 6).alias("total_return"), "steps", "invalid_actions",
         passed.alias("quality_gate_passed"),
         F.coalesce(F.col("_last.report_retention"), F.col("_last.retention_ratio")).alias("retention_ratio"),
         F.coalesce(passed, F.lit(False)).alias("success"))

@@ -68,11 +68,10 @@ def episodes_sql() -> str:
 
 def _episodes(spark, sf):
     df = _steps(spark, sf)
-    m = T.episode_metrics(df)
-    dims = df.groupBy("episode_id").agg(F.any_value("run_id").alias("run_id"), F.any_value("day").alias("day"),
-                                        F.any_value("task_id").alias("task_id"), F.any_value("agent").alias("agent"),
-                                        F.max("final_reward").alias("final_reward"))
-    return m.join(dims, "episode_id")
+    return T.episode_metrics(df, extra=[
+        F.any_value("run_id").alias("run_id"), F.any_value("day").alias("day"),
+        F.any_value("task_id").alias("task_id"), F.any_value("agent").alias("agent"),
+        F.max("final_reward").alias("final_reward")])
 
 
 @register("traj_episode_metrics", lambda: _ws(episodes_sql()))
