@@ -100,3 +100,25 @@ def map_pm(tasks: DataFrame, n_tasks: int, seed: int = 42) -> DataFrame:
         F.coalesce(F.try_element_at(F.create_map(*[x for a, b in RISK_MAP.items() for x in (F.lit(a), F.lit(b))]),
                                     F.col("Risk_Level")), F.lit("None")).alias("RiskFlag"),
         F.floor(u("pct") * 101).cast("long").alias("CompletionPct"))
+
+
+def schema_drift(old: DataFrame, new: DataFrame) -> list[tuple]:
+    """Schema changes between two versions of a table: kept / retyped
+    (same name), renamed (same name ignoring case and '_'), dropped, added.
+    A plan-time comparison of the two schemas (no data is read)."""
+    old_t = {f.name: f.dataType.simpleString() for f in old.schema.fields}
+    new_t = {f.name: f.dataType.simpleString() for f in new.schema.fields}
+    used, rows = set(), []
+    for c, t in old_t.items():
+        if c in new_t:
+            used.add(c)
+            rows.append((c, c, "kept" if new_t[c] == t else "retyped", t, new_t[c]))
+            continue
+        match = next((n for n in new_t if n not in used and _norm(n) == _norm(c)), None)
+        if match is not None:
+            used.add(match)
+            rows.append((c, match, "renamed" if new_t[match] == t else "renamed+retyped", t, new_t[match]))
+        else:
+            rows.append((c, None, "dropped", t, None))
+    rows += [(None, n, "added", None, t) for n, t in new_t.items() if n not in used]
+    return rows

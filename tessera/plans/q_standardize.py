@@ -381,3 +381,13 @@ def _augment_sql() -> str:
             f"JOIN (SELECT row_number() OVER (ORDER BY TaskID, {', '.join(AUG_COLS)}) - 1 AS parent, {', '.join(AUG_COLS)} FROM dom_pm) p "
             f"USING (parent)")
     return S.with_fixtures(["dom_pm"], body)
+
+
+@register("x_schema_drift")
+def x_schema_drift(spark, sf):
+    """Detected drift between the HR view and its export (renames, a retype,
+    dropped and added columns)."""
+    old = X.dom_hr(spark, sf)
+    new = RS.hr_export(spark, sf).withColumn("age", F.col("age").cast("double")).withColumn("badge", F.lit("x"))
+    return spark.createDataFrame(STD.schema_drift(old, new), "old_column string, new_column string, change string, "
+                                                             "old_type string, new_type string")
