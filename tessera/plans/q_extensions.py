@@ -214,7 +214,7 @@ BUDGET = 3.0
 @register("x_budgeted_enrichment", lambda: S.with_fixtures(["action_text"], (
     "SELECT conv_id, turn, field_name, spent FROM (SELECT conv_id, turn, field_name, sum(cost) OVER (PARTITION BY "
     "conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS spent FROM (SELECT conv_id, turn, "
-    "field_name, (CASE field_name " + " ".join(f"WHEN {S.q(s)} THEN {c}" for s, c in SOURCE_COST.items())
+    "field_name, (CASE field_name " + " ".join(f"WHEN {S.q(s)} THEN {c}::DOUBLE" for s, c in SOURCE_COST.items())
     + " END) AS cost FROM (SELECT conv_id, turn, " + enr_parse_sql("output") + " FROM action_text)) WHERE cost IS NOT NULL) "
     f"WHERE spent <= {BUDGET}")))
 def x_budgeted_enrichment(spark, sf):

@@ -30,14 +30,14 @@ def _w(body, ctes=None, names=("dirty_orders",)):
 
 # ------------------------------------------------------------------ profiles
 @register("profile_missing", lambda: _w(" UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, count_if({c} IS NULL) AS n_missing FROM dirty_orders" for c in DO_COLS)))
+    f"SELECT '{c}' AS column_name, CAST(count_if({c} IS NULL) AS BIGINT) AS n_missing FROM dirty_orders" for c in DO_COLS)))
 def profile_missing(spark, sf):
     return Q.profile_missing(_orders(spark, sf))
 
 
 @register("profile_invalid_tokens", lambda: _w(" UNION ALL ".join(
     f"SELECT '{c}' AS column_name, "
-    + (f"count_if({S.in_list(c, K.INVALID_TOKENS)})" if c != "order_id" else "count_if(FALSE)")
+    + (f"CAST(count_if({S.in_list(c, K.INVALID_TOKENS)}) AS BIGINT)" if c != "order_id" else "CAST(count_if(FALSE) AS BIGINT)")
     + " AS n_invalid FROM dirty_orders" for c in DO_COLS)))
 def profile_invalid_tokens(spark, sf):
     return Q.profile_invalid_tokens(_orders(spark, sf))
@@ -63,7 +63,7 @@ HR_TYPES = {"EmployeeID": "string", "Age": "bigint", "Department": "string", "Jo
 
 
 @register("profile_schema_info", lambda: S.with_fixtures(["dom_hr"], " UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, '{t}' AS dtype, count_if({c} IS NULL) AS n_nulls, "
+    f"SELECT '{c}' AS column_name, '{t}' AS dtype, CAST(count_if({c} IS NULL) AS BIGINT) AS n_nulls, "
     f"'{'expected' if c in K.DOMAIN_COLUMNS['hr'] else 'extra'}' AS role FROM dom_hr" for c, t in HR_TYPES.items())))
 def profile_schema_info(spark, sf):
     return Q.profile_schema_info(X.dom_hr(spark, sf), K.DOMAIN_COLUMNS["hr"])
@@ -98,9 +98,9 @@ def _snapshot_sql() -> str:
     miss = " + ".join(f"count_if({c} IS NULL)" for c in DO_COLS)
     bad = f"count_if(price IS NOT NULL AND {S.parse_double('price')} IS NULL)"
     # dirty_orders: order_id bigint and customer_id/priority/status string match; price/order_date are text
-    return _w(f"SELECT count(*) AS n_rows, {len(DO_COLS)} AS n_columns, {miss} AS n_missing_cells, "
+    return _w(f"SELECT count(*) AS n_rows, {len(DO_COLS)} AS n_columns, CAST({miss} AS BIGINT) AS n_missing_cells, "
               f"count(*) - count(DISTINCT ({', '.join(DO_COLS)})) AS n_duplicate_rows, "
-              f"{bad} AS n_invalid_type_cells, {round(4 / 6, 4)}::DOUBLE AS schema_consistency FROM dirty_orders")
+              f"CAST({bad} AS BIGINT) AS n_invalid_type_cells, {round(4 / 6, 4)}::DOUBLE AS schema_consistency FROM dirty_orders")
 
 
 @register("profile_snapshot", _snapshot_sql)
@@ -242,7 +242,7 @@ def dq_before_after(spark, sf):
 # ------------------------------------------------ quality score and gates
 def _stats_sql(rel: str, target: str) -> str:
     miss = " + ".join(f"count_if({c} IS NULL)" for c in DO_COLS if c != target)
-    return (f"SELECT count(*) AS n_rows, {miss} AS n_missing, "
+    return (f"SELECT count(*) AS n_rows, CAST({miss} AS BIGINT) AS n_missing, "
             f"count(*) - count(DISTINCT ({', '.join(DO_COLS)})) AS n_duplicates FROM {rel}")
 
 

@@ -190,8 +190,8 @@ def _pipeline_sql() -> str:
         r = SqlRow(cols, TYPED)
         label = majority_sql([lf_sql(r, lf.__name__) for lf in WK.DOMAIN_LFS[d]])
         ctes.append((f"lab_{d}", f"SELECT *, {label} AS dq_label FROM std_{d}"))
-        parts.append(f"SELECT '{d}' AS domain, count(*) AS n_raw, count_if(dq_label = 1) AS n_good, "
-                     f"count_if(dq_label = 0) AS n_bad, count_if(dq_label = -1) AS n_abstain, "
+        parts.append(f"SELECT '{d}' AS domain, count(*) AS n_raw, CAST(count_if(dq_label = 1) AS BIGINT) AS n_good, "
+                     f"CAST(count_if(dq_label = 0) AS BIGINT) AS n_bad, CAST(count_if(dq_label = -1) AS BIGINT) AS n_abstain, "
                      f"(SELECT count(*) FROM (SELECT DISTINCT * FROM lab_{d})) AS n_gold FROM lab_{d}")
     return S.with_fixtures(["dom_hr", "dom_sales", "dom_pm", "dom_it_ops"], " UNION ALL ".join(parts), ctes)
 

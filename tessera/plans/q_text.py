@@ -441,8 +441,8 @@ def _avail_sql() -> str:
 
 
 @register("source_relevance", lambda: _wt(
-    f"SELECT conv_id, turn, CASE WHEN list_contains({_avail_sql()}, source) THEN 1.0 WHEN field_name <> 'unknown' "
-    f"THEN 0.3 ELSE 0.0 END AS reward FROM (SELECT conv_id, turn, domain, {enr_parse_sql('output')} FROM action_text)"))
+    f"SELECT conv_id, turn, CAST(CASE WHEN list_contains({_avail_sql()}, source) THEN 1.0 WHEN field_name <> 'unknown' "
+    f"THEN 0.3 ELSE 0.0 END AS DOUBLE) AS reward FROM (SELECT conv_id, turn, domain, {enr_parse_sql('output')} FROM action_text)"))
 def source_relevance(spark, sf):
     df = _act(spark, sf)
     avail = F.element_at(F.create_map(*[x for d in X.DOMAINS for x in (
@@ -518,7 +518,7 @@ def _validation_sql() -> str:
            "WHEN operation = 'drop_duplicates' THEN NULL "
            "WHEN \"column\" IS NULL THEN concat('Operation ''', operation, ''' requires a column.') "
            f"WHEN \"column\" NOT IN ({cols}) THEN concat('Unknown column ''', \"column\", '''.') END")
-    return _wt(f"SELECT conv_id, turn, tool, {err} AS error, CASE WHEN ({err}) IS NOT NULL THEN -0.2 END AS reward "
+    return _wt(f"SELECT conv_id, turn, tool, {err} AS error, CASE WHEN ({err}) IS NOT NULL THEN -0.2::DOUBLE END AS reward "
                f"FROM (SELECT conv_id, turn, {tool_parse_sql('output')} FROM action_text)")
 
 

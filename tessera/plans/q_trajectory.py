@@ -58,7 +58,7 @@ def episodes_sql() -> str:
     return ("SELECT episode_id, any_value(run_id) AS run_id, any_value(day) AS day, any_value(task_id) AS task_id, "
             "any_value(agent) AS agent, "
             f"{R('sum(coalesce(reward, 0.0))', 6)} AS total_return, count(*) AS steps, "
-            "count_if(error IS NOT NULL) AS invalid_actions, "
+            "CAST(count_if(error IS NOT NULL) AS BIGINT) AS invalid_actions, "
             "coalesce(arg_max_null(report_passed, (ts, event_id)), arg_max_null(passed, (ts, event_id))) AS quality_gate_passed, "
             "coalesce(arg_max_null(report_retention, (ts, event_id)), arg_max_null(retention_ratio, (ts, event_id))) "
             "AS retention_ratio, "
@@ -124,7 +124,7 @@ def traj_agent_compare(spark, sf):
 
 
 @register("traj_error_rows", lambda: _we(
-    "SELECT e.episode_id, e.task_id, e.agent, 0.0 AS total_return, CAST(0 AS BIGINT) AS steps, FALSE AS success, "
+    "SELECT e.episode_id, e.task_id, e.agent, 0.0::DOUBLE AS total_return, CAST(0 AS BIGINT) AS steps, FALSE AS success, "
     "f.error FROM episodes e JOIN (SELECT episode_id, arg_min_null(error, (ts, event_id)) AS error FROM steps "
     "GROUP BY episode_id) f USING (episode_id) WHERE f.error IS NOT NULL"))
 def traj_error_rows(spark, sf):
@@ -155,7 +155,7 @@ def traj_progress_log(spark, sf):
 
 
 @register("eval_summarize", lambda: _we(
-    "SELECT agent, count(*) AS total, count_if(steps > 0) AS valid, " + R("avg(total_return)", 4) + " AS mean_return, "
+    "SELECT agent, count(*) AS total, CAST(count_if(steps > 0) AS BIGINT) AS valid, " + R("avg(total_return)", 4) + " AS mean_return, "
     + R("coalesce(stddev_samp(total_return), 0.0)", 4) + " AS std_return FROM episodes GROUP BY agent"))
 def eval_summarize(spark, sf):
     eps = _episodes(spark, sf)
