@@ -51,7 +51,8 @@ def noise_duplicates(df: DataFrame, key: str, p: float, seed: int = 42) -> DataF
     """Append a copy of each row whose seeded draw is below ``p`` (one scan,
     ``explode`` of 1 or 2 copies); copies carry ``_copy`` = 1."""
     u = hash_uniform(F.col(key), seed, "dup")
-    return df.select("*", F.explode(F.sequence(F.lit(0), F.when(u < p, 1).otherwise(0))).alias("_copy"))
+    return df.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.when(u < p, 1).otherwise(0).cast("long")))
+                     .alias("_copy"))
 
 
 def noise_outliers(df: DataFrame, key: str, columns: list[str], p: float, seed: int = 42) -> DataFrame:
@@ -208,7 +209,8 @@ def corrupt_typos(df: DataFrame, key: str, categorical: list[str], rate: float =
 
 def _dup_rows(df: DataFrame, key: str, th_dup: float, seed: int) -> DataFrame:
     hd = hash52(F.col(key), seed, "dup")
-    return df.select("*", F.explode(F.sequence(F.lit(0), F.when(hd <= th_dup, 1).otherwise(0))).alias("_copy"))
+    return df.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.when(hd <= th_dup, 1).otherwise(0).cast("long")))
+                     .alias("_copy"))
 
 
 def _apply_whitespace(rows: DataFrame, key: str, categorical: list[str], rate: float, seed: int,

@@ -285,7 +285,8 @@ def preview(spark, sf):
     """First 5 rows in key order plus the table's shape."""
     df = X.dom_sales(spark, sf)
     n = df.count()
-    return df.orderBy("DealID").limit(5).select("*", F.lit(n).alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"))
+    return df.orderBy("DealID").limit(5).select("*", F.lit(n).cast("long").alias("n_rows"),
+                                                F.lit(len(df.columns)).alias("n_columns"))
 
 
 @register("sample_fixed", lambda: S.with_fixtures(["dom_hr"], (
