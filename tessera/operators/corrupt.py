@@ -88,14 +88,12 @@ def noise_category_drift(df: DataFrame, key: str, columns: list[str], p: float,
 
 
 def noise_string_in_numeric(df: DataFrame, key: str, columns: list[str], p: float, seed: int = 42) -> DataFrame:
-    """Numeric cells -> one of unknown, ?, n/a, ''; the column becomes text
-    (numbers printed through decimal so both engines agree)."""
+    """Numeric cells -> one of unknown, ?, n/a, ''; the column becomes text,
+    and the cells that are left alone read back to the same number."""
     k = F.col(key)
     out = {}
     for c in columns:
-        dt = dtype_of(df, c)
-        text = F.col(c).cast("decimal(18,2)").cast("string") if dt.typeName() in ("double", "float") \
-            else F.col(c).cast("string")
+        text = F.col(c).cast("string")  # reads back to the same number
         out[c] = F.when(hash_uniform(k, seed, c, "junk") < p,
                         hash_pick(hash_uniform(k, seed, c, "junk_pick"), K.NUMERIC_JUNK)).otherwise(text)
     return df.withColumns(out)
@@ -148,9 +146,7 @@ def _apply_type(df: DataFrame, key: str, cols: list[str], th: dict, seed: int) -
     k = F.col(key)
     out = {}
     for c in cols:
-        dt = dtype_of(df, c)
-        text = F.col(c).cast("decimal(18,2)").cast("string") if dt.typeName() in ("double", "float") \
-            else F.col(c).cast("string")
+        text = F.col(c).cast("string")  # reads back to the same number
         out[c] = F.when(hash52(k, seed, c, "type") <= th[f"type:{c}"],
                         hash_pick(hash_uniform(k, seed, c, "type_tok"), K.TYPE_MISMATCH_TOKENS)).otherwise(text)
     return df.withColumns(out)

@@ -99,12 +99,12 @@ def profile_numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def profile_top_values(df: DataFrame, columns: list[str] | None = None, k: int = 5) -> DataFrame:
-    """Top-k value counts per non-numeric column (ties: value ascending).
+    """Top-k value counts of ``columns`` (default: all non-numeric; ties: value ascending).
 
     ``row_number() <= k`` lets Spark insert a per-partition group limit before
     the shuffle, so each map task forwards at most k rows per column."""
     from pyspark.sql import Window as W
-    cols = columns or [c for c in data_columns(df)[:12] if not is_numeric_type(dtype_of(df, c))]
+    cols = columns or [c for c in data_columns(df) if not is_numeric_type(dtype_of(df, c))]
     items = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in cols]
     counted = (df.select(F.explode(F.array(*items)).alias("x")).select("x.column_name", "x.value")
                .where(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.count("*").alias("n")))

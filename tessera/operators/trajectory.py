@@ -54,6 +54,30 @@ def ordered_prefix(df: DataFrame, group: list[str], order: list[str], values: di
     return out.drop(*drop, "_one", "_pid")
 
 
+#: Steps of one block of a discounted sum, and blocks looked ahead.
+DISCOUNT_BLOCK, DISCOUNT_AHEAD = 512, 8
+
+
+def discounted_returns(df: DataFrame, group: list[str], order: list[str], reward: str, gamma: float) -> DataFrame:
+    """Adds ``g``, the discounted sum of this and all later rewards of the group.
+
+    Powers are taken within blocks of the group, so they never underflow, and a
+    group of any length is spread over tasks. What lies beyond the blocks looked
+    ahead weighs less than ``gamma ** (512 * 8)`` (1e-18 for 0.99). Rows must be
+    unique by (group, order)."""
+    rows = ordered_prefix(df, group, order, {})
+    rows = rows.withColumns({"_block": F.expr(f"idx div {DISCOUNT_BLOCK}"), "_off": F.col("idx") % DISCOUNT_BLOCK})
+    weighted = F.coalesce(F.col(reward), F.lit(0.0)) * F.pow(F.lit(gamma), F.col("_off"))
+    inside = F.sum(weighted).over(W.partitionBy(*group, "_block").orderBy("_off").rowsBetween(0, W.unboundedFollowing))
+    blocks = rows.groupBy(*group, "_block").agg(F.sum(weighted).alias("_sum"))
+    ahead = W.partitionBy(*group).orderBy("_block")
+    later = sum((F.coalesce(F.lead("_sum", m).over(ahead), F.lit(0.0)) * gamma ** (DISCOUNT_BLOCK * (m - 1))
+                 for m in range(2, DISCOUNT_AHEAD + 1)), F.coalesce(F.lead("_sum", 1).over(ahead), F.lit(0.0)))
+    joined = rows.withColumn("_in", inside).join(blocks.select(*group, "_block", later.alias("_later")), [*group, "_block"])
+    g = F.col("_in") / F.pow(F.lit(gamma), F.col("_off")) + F.pow(F.lit(gamma), DISCOUNT_BLOCK - F.col("_off")) * F.col("_later")
+    return joined.withColumn("g", g).drop("idx", "_block", "_off", "_in", "_later")
+
+
 def episode_metrics(steps: DataFrame, episode: str = "episode_id", order: tuple = ("ts", "event_id"),
                     extra: list[Column] | None = None) -> DataFrame:
     """Per episode: total return, steps, invalid actions, and gate pass /
@@ -153,7 +177,7 @@ def curve_reset_trim(series: DataFrame) -> DataFrame:
     lens = core.groupBy("task", "metric").agg(F.count(F.lit(1)).alias("len"))
     bounds = (lens.join(resets, "task", "left").withColumn("reset_idx", F.coalesce("reset_idx", F.lit(0)))
               .groupBy("task", "reset_idx").agg(F.min(F.col("len") - F.col("reset_idx")).alias("n")))
-    j = series.join(F.broadcast(bounds), "task")
+    j = series.join(bounds, "task")
     kept = j.where((F.col("idx") >= F.col("reset_idx")) & (F.col("idx") < F.col("reset_idx") + F.col("n")))
     value = F.when(F.col("metric") == "train/epoch", F.round("value", 3)).otherwise(F.col("value"))
     return kept.select("task", "metric", (F.col("idx") - F.col("reset_idx")).alias("step"), value.alias("value"))

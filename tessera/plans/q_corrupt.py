@@ -120,7 +120,7 @@ def noise_category_drift(spark, sf):
 @register("noise_string_in_numeric", lambda: (
     f"WITH v AS ({_ECV}) SELECT _seq, " + ", ".join(
         f"CASE WHEN {uni(_ECK, SEED, c, 'junk')} < 0.03 THEN {hpick(uni(_ECK, SEED, c, 'junk_pick'), K.NUMERIC_JUNK)} "
-        f"ELSE {S.text2(c)} END AS {c}" for c in _EC["numeric"]) + " FROM v"))
+        f"ELSE {S.number_text(c)} END AS {c}" for c in _EC["numeric"]) + " FROM v"))
 def noise_string_in_numeric(spark, sf):
     return CR.noise_string_in_numeric(_ec(spark, sf), "session_id", _EC["numeric"], 0.03).select(
         "_seq", *_EC["numeric"])
@@ -128,7 +128,7 @@ def noise_string_in_numeric(spark, sf):
 
 # --------------------------------------------------- domain corruption
 def _text(c: str) -> str:
-    return S.text2(c) if NUM_KIND.get(c) == "dbl" else f"CAST({c} AS VARCHAR)"
+    return S.number_text(c) if NUM_KIND.get(c) == "dbl" else f"CAST({c} AS VARCHAR)"
 
 
 def _kexpr(share: float, n: str = "n") -> str:

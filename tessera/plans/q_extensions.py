@@ -85,7 +85,7 @@ def x_reward_normalize(spark, sf):
     df = _st(spark, sf)
     r = F.coalesce("reward", F.lit(0.0))
     g = df.groupBy("task_id").agg(F.avg(r).alias("mu"), F.stddev_pop(r).alias("sd"))
-    j = df.join(F.broadcast(g), "task_id")
+    j = df.join(g, "task_id")
     return j.select("event_id", F.round(F.when(F.col("sd") > 0, (r - F.col("mu")) / F.col("sd")).otherwise(0.0), 6)
                     .alias("z"))
 
@@ -106,17 +106,12 @@ def x_inverse_variance_weights(spark, sf):
     f"CURRENT ROW AND UNBOUNDED FOLLOWING) / pow({GAMMA}, k) AS g FROM (SELECT *, row_number() OVER (PARTITION BY "
     "episode_id ORDER BY ts, event_id) - 1 AS k FROM steps))"))
 def x_discounted_return(spark, sf):
-    """gamma-discounted return-to-go per step (suffix window inside the
-    episode) minus the task's mean return-to-go (aggregate + broadcast)."""
-    df = _st(spark, sf)
-    w = W.partitionBy("episode_id").orderBy(*ORDER)
-    k = (F.row_number().over(w) - 1)
-    d = df.select("episode_id", "event_id", "task_id", *ORDER, "reward", k.alias("k"))
-    g = (F.sum(F.coalesce("reward", F.lit(0.0)) * F.pow(F.lit(GAMMA), F.col("k")))
-         .over(w.rowsBetween(0, W.unboundedFollowing)) / F.pow(F.lit(GAMMA), F.col("k")))
-    gd = d.select("event_id", "task_id", g.alias("g"))
+    """gamma-discounted return-to-go per step minus the task's mean return-to-go."""
+    from tessera.operators.trajectory import discounted_returns
+    df = _st(spark, sf).select("episode_id", "task_id", *ORDER, "reward")
+    gd = discounted_returns(df, ["episode_id"], list(ORDER), "reward", GAMMA).select("event_id", "task_id", "g")
     base = gd.groupBy("task_id").agg(F.avg("g").alias("b"))
-    return gd.join(F.broadcast(base), "task_id").select("event_id", F.round(F.col("g") - F.col("b"), 6).alias("advantage"))
+    return gd.join(base, "task_id").select("event_id", F.round(F.col("g") - F.col("b"), 6).alias("advantage"))
 
 
 @register("x_variance_curriculum", lambda: _ws(

@@ -3,6 +3,8 @@ tables (availableNow) and returns its sink as a table."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -25,32 +27,57 @@ def stream_clean(spark, sf):
     return J.run_to_table(spark, J.clean_stream(dirty, projection), "clean")
 
 
-@register("stream_dq_window")
+def _dq_sql(starts: str, days: int = 1) -> str:
+    nulls = " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in ("user_id", "event_type", "value", "props"))
+    return (f"SELECT w AS window_start, w + INTERVAL {days} DAY AS window_end, count(*) AS n, "
+            f"round((1 - ({nulls}) / (count(*) * 4.0))::DECIMAL(38, 12), 4)::DOUBLE AS completeness, "
+            "round((count(*) FILTER (WHERE value IS NOT NULL AND NOT isnan(value)) / count(*)::DOUBLE)::DECIMAL(38, 12), 4)::DOUBLE AS consistency "
+            f"FROM (SELECT *, unnest({starts}) AS w FROM events) GROUP BY w")
+
+
+def _plain_time(df, *columns):
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
+
+
+def _dq(spark, sf, name, *window):
+    ev = J.event_time(J.stream_table(spark, sf, "events"))
+    windows = J.run_updates(spark, J.dq_windows(ev, *window), name, ["window_start", "window_end"])
+    return _plain_time(windows.drop("uniqueness"), "window_start", "window_end")  # the approximate column has no exact oracle
+
+
+@register("stream_dq_window", lambda: _dq_sql("[date_trunc('day', ts)]"))
 def stream_dq_window(spark, sf):
     """DQ per 1-day tumbling window of the event stream (watermark 1 hour)."""
-    ev = J.event_time(J.stream_table(spark, sf, "events"))
-    return J.run_to_table(spark, J.dq_windows(ev, "1 day"), "dq_window")
+    return _dq(spark, sf, "dq_window", "1 day")
 
 
-@register("stream_dq_sliding")
+@register("stream_dq_sliding", lambda: _dq_sql("[time_bucket(INTERVAL 12 HOUR, ts), time_bucket(INTERVAL 12 HOUR, ts) - INTERVAL 12 HOUR]"))
 def stream_dq_sliding(spark, sf):
     """DQ per 1-day window sliding every 12 hours."""
-    ev = J.event_time(J.stream_table(spark, sf, "events"))
-    return J.run_to_table(spark, J.dq_windows(ev, "1 day", "12 hours"), "dq_sliding")
+    return _dq(spark, sf, "dq_sliding", "1 day", "12 hours")
 
 
-@register("stream_dedup")
+@register("stream_dedup", "SELECT DISTINCT * FROM events")
 def stream_dedup(spark, sf):
-    """Repeated (user, event type) within 10 minutes of event time dropped."""
+    """Whole-row duplicates dropped from an event stream in which every tenth
+    event is delivered twice."""
     ev = J.event_time(J.stream_table(spark, sf, "events"))
-    return J.run_to_table(spark, J.dedup_stream(ev, ["user_id", "event_type"]), "dedup")
+    again = F.when(F.col("event_id") % 10 == 0, 2).otherwise(1)
+    twice = ev.withColumn("_n", F.explode(F.sequence(F.lit(1), again))).drop("_n")
+    return _plain_time(J.run_to_table(spark, J.dedup_stream(twice), "dedup"), "ts")
 
 
-@register("stream_episode_metrics")
+@register("stream_episode_metrics", lambda: S.with_fixtures(["steps"], (
+    "SELECT run_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS steps, "
+    "round(sum(coalesce(reward, 0.0))::DECIMAL(38, 12), 6)::DOUBLE AS total_return, count(*) FILTER (WHERE error IS NOT NULL) AS invalid_actions "
+    "FROM (SELECT *, sum(opens) OVER (PARTITION BY run_id ORDER BY ts, event_id) AS s FROM (SELECT *, "
+    "CASE WHEN ts > lag(ts) OVER (PARTITION BY run_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS opens FROM steps)) "
+    "GROUP BY run_id, s")))
 def stream_episode_metrics(spark, sf):
-    """Episode totals per run closed by 30 minutes of inactivity."""
+    """Episode totals per run, closed by 30 minutes of inactivity."""
     steps = J.event_time(X.steps_from(J.stream_table(spark, sf, "events")))
-    return J.run_to_table(spark, J.session_metrics(steps), "sessions")
+    found = J.run_updates(spark, J.session_metrics(steps), "sessions", ["run_id", "session_start"], mode="complete")
+    return _plain_time(found, "session_start", "session_end")
 
 
 @register("stream_curriculum")
@@ -61,7 +88,7 @@ def stream_curriculum(spark, sf):
     eps = _episodes(spark, sf)
     w = W.partitionBy("run_id").orderBy("day")
     log = eps.select("run_id", (F.row_number().over(w) - 1).cast("long").alias("episode_no"), "success")
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/episode-log-{abs(hash(sf)) % 10**8}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/episode-log-{uuid.uuid4().hex}"
     log.repartition("run_id").sortWithinPartitions("run_id", "episode_no").write.mode("overwrite").parquet(path)
     stream = spark.readStream.schema(log.schema).parquet(path)
     return J.run_to_table(spark, J.curriculum_stream(stream), "curriculum")

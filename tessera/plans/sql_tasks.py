@@ -46,7 +46,7 @@ def _initial_types(task: str) -> dict[str, str]:
 
 
 def text_of(c: str, kind: str) -> str:
-    return S.text2(c) if kind == "dbl" else f"CAST({c} AS VARCHAR)"
+    return S.number_text(c) if kind == "dbl" else f"CAST({c} AS VARCHAR)"
 
 
 def noise_ctes(task: str, prefix: str, profile: str = "medium", seed: int = 42) -> tuple[list, str]:

@@ -79,6 +79,12 @@ def text2(x: str) -> str:
     return f"CAST(CAST(CAST(CAST(({x}) AS VARCHAR) AS DECIMAL(38,20)) AS DECIMAL(18,2)) AS VARCHAR)"
 
 
+def number_text(x: str) -> str:
+    """Spark's cast of a double to text, for the fixtures' range (1e-3 to 1e7),
+    where both engines print the shortest digits without an exponent."""
+    return f"CAST({x} AS VARCHAR)"
+
+
 def in_list(x: str, values: list[str]) -> str:
     return f"{x} IN (" + ", ".join(q(v) for v in values) + ")"
 
@@ -300,7 +306,7 @@ def steps_sql() -> str:
               f"WHEN event_type = 'click' THEN floor({uni(e, 'reward')} * 3000) / 10000.0 - 0.1 "
               f"WHEN event_type = 'purchase' THEN (CASE WHEN value > 25 THEN {K.GATE_BONUS_PASS}::DOUBLE "
               f"ELSE {K.GATE_BONUS_FAIL}::DOUBLE END) END)")
-    return f"""SELECT user_id * 1000 + {day} AS episode_id, user_id AS run_id, {day} AS day, ts, event_id,
+    return f"""SELECT user_id * 100000 + {day} AS episode_id, user_id AS run_id, {day} AS day, ts, event_id,
         {pick(TASK_IDS, 'user_id % 3')} AS task_id, {pick(AGENTS, '(user_id // 3) % 3')} AS agent, {tool} AS tool_name,
         CASE WHEN {isop} THEN {pick(K.TOOL_OPERATIONS, 'event_id % 8')} END AS operation,
         CASE WHEN {isop} AND event_id % 8 <> 0 THEN {pick(STEP_COLUMNS, '(event_id // 8) % 5')} END AS "column",

@@ -294,7 +294,7 @@ def steps_from(events: DataFrame) -> DataFrame:
               .when(et == "click", F.floor(hash_uniform(e, "reward") * 3000) / 10000.0 - 0.1)
               .when(et == "purchase", F.when(v > 25, K.GATE_BONUS_PASS).otherwise(K.GATE_BONUS_FAIL)))
     return ev.select(
-        (u * 1000 + _day(F.col("ts"))).alias("episode_id"), u.alias("run_id"), _day(F.col("ts")).alias("day"),
+        (u * 100000 + _day(F.col("ts"))).alias("episode_id"), u.alias("run_id"), _day(F.col("ts")).alias("day"),
         "ts", "event_id",
         _pick(TASK_IDS, F.pmod(u, F.lit(3))).alias("task_id"),
         _pick(AGENTS, F.pmod(F.floor(u / 3), F.lit(3))).alias("agent"),

@@ -11,20 +11,17 @@ DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Scan one driver table. Projection and filters applied later are pushed
-    into this Parquet scan by Catalyst (through the repartition below)."""
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Unsplittable inputs (one file, one row group) scan as a single task,
-    and every row-wise expression after the scan would then run on one core.
-    When the scan has fewer partitions than the cluster's default parallelism,
-    spread it round-robin; large inputs (thousands of splits) are left as
-    they are, so no shuffle is added at scale."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    into this Parquet scan by Catalyst."""
+    return dealt(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """With ``tessera.scan.partitions`` set in the session, every scan is dealt
+    to that many partitions; unset (as on a cluster), the scan stays as it is.
+    For files of one row group, which no split size can cut; the plan depends on
+    this setting alone, not on the input."""
+    n = df.sparkSession.conf.get("tessera.scan.partitions", None)
+    return df.repartition(int(n)) if n else df
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

@@ -14,6 +14,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tessera.functions.exprs import is_numeric_like
@@ -30,7 +31,7 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1
 def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream to completion (availableNow) into a Parquet folder in the
     shared checkpoint directory and return the folder as a batch table."""
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex[:8]}"
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
     q = (stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/_checkpoint")
          .option("path", f"{base}/data").trigger(availableNow=True).start())
     q.awaitTermination()
@@ -39,6 +40,31 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str =
     return spark.read.schema(stream.schema).parquet(f"{base}/data")
 
 
+def run_updates(spark: SparkSession, stream: DataFrame, name: str, keys: list[str], mode: str = "update") -> DataFrame:
+    """Run an aggregating stream to completion and return its last row per key.
+
+    Append mode would hold back every window that the watermark has not closed
+    when the input ends. Here each micro-batch appends the rows that it changed
+    (``update``) or all of them (``complete``), with its number, and the batch
+    table keeps the newest row per key; a batch that is run again after a
+    failure writes equal rows under its number."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        df.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(f"{path}/data")
+
+    q = (stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/_checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("_batch", T.IntegerType())])).parquet(f"{path}/data")
+    if mode == "complete":
+        rows = rows.join(rows.agg(F.max("_batch").alias("_batch")), "_batch", "left_semi")
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in stream.columns if c not in keys]), "_batch").alias("r"))
+    return newest.select(*keys, "r.*").select(*stream.columns)
+
+
 def event_time(df: DataFrame, col: str = "ts") -> DataFrame:
     """Watermarks need TIMESTAMP (not NTZ); the session time zone is UTC."""
     return df.withColumn(col, F.col(col).cast("timestamp"))
@@ -52,8 +78,8 @@ def clean_stream(dirty_stream: DataFrame, projection) -> DataFrame:
 def dq_windows(events: DataFrame, window: str = "1 day", slide: str | None = None,
                watermark: str = "1 hour") -> DataFrame:
     """Completeness / consistency / approximate uniqueness per event-time
-    window; rows later than the watermark are dropped, windows are emitted
-    once closed (append mode)."""
+    window; rows later than the watermark are dropped. Run it with
+    ``run_updates``: append mode never emits the windows open at the end."""
     cols = ["user_id", "event_type", "value", "props"]
     w = F.window("ts", window, slide) if slide else F.window("ts", window)
     nulls = sum((F.count_if(F.col(c).isNull()) for c in cols[1:]), F.count_if(F.col(cols[0]).isNull()))
@@ -67,12 +93,20 @@ def dq_windows(events: DataFrame, window: str = "1 day", slide: str | None = Non
                       F.round(F.least(F.lit(1.0), F.col("approx_distinct") / F.col("n")), 4).alias("uniqueness"))
 
 
-def dedup_stream(events: DataFrame, keys: list[str], watermark: str = "10 minutes") -> DataFrame:
-    return events.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(keys)
+def dedup_stream(events: DataFrame, keys: list[str] | None = None, watermark: str | None = None) -> DataFrame:
+    """First row of each key (default: the whole row), whatever the micro-batches.
+
+    The state holds the distinct keys. Where rows arrive within a bounded delay,
+    give it as ``watermark`` and let ``keys`` include ``ts``: keys older than
+    the watermark are then forgotten, and rows that late are dropped."""
+    rows = events.withWatermark("ts", watermark) if watermark else events
+    return rows.dropDuplicates(keys or events.columns)
 
 
 def session_metrics(steps: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """Episode totals closed by inactivity: a session window per run."""
+    """Episode totals closed by inactivity: a session window per run. Run it
+    with ``run_updates`` in complete mode (sessions have no update mode), so
+    that sessions open at the end count too."""
     s = (steps.withWatermark("ts", gap).groupBy("run_id", F.session_window("ts", gap).alias("s"))
          .agg(F.count(F.lit(1)).alias("steps"), F.sum(F.coalesce("reward", F.lit(0.0))).alias("total_return"),
               F.count_if(F.col("error").isNotNull()).alias("invalid_actions")))
