@@ -171,10 +171,9 @@ def eval_summarize(spark, sf):
 def eval_summarize_pop(spark, sf):
     """Overall, per-task and per-agent mean and population std in one
     aggregation (GROUPING SETS expands rows, not scans)."""
-    _episodes(spark, sf).createOrReplaceTempView("_episodes")
-    spark_sql = ("SELECT task_id, agent, count(*) AS n, round(avg(total_return), 4) AS mean_return, "
-                 "round(stddev_pop(total_return), 4) AS std_return FROM _episodes GROUP BY GROUPING SETS ((), (task_id), (agent))")
-    return spark.sql(spark_sql)
+    return _episodes(spark, sf).groupingSets([[], ["task_id"], ["agent"]], "task_id", "agent").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("total_return"), 4).alias("mean_return"),
+        F.round(F.stddev_pop("total_return"), 4).alias("std_return"))
 
 
 @register("demo_success_filter", lambda: _we(
@@ -239,6 +238,36 @@ def required_op_coverage(spark, sf):
         "episode_id", F.round(F.coalesce(F.col("m"), F.lit(0)) / len(REQUIRED), 4).alias("coverage"))
 
 
+def _required_pairs(spark, sf):
+    """(episode, required operation) pairs, and the operations the steps ran."""
+    df = _steps(spark, sf)
+    pairs = F.array(*[F.struct(F.lit(op).alias("operation"), F.lit(c).cast("string").alias("col"))
+                      for op, c in dict.fromkeys(REQUIRED)])
+    wanted = df.select("episode_id").distinct().select("episode_id", F.inline(pairs))
+    ran = df.where(F.col("operation").isNotNull()).select("episode_id", "operation", F.col("column").alias("col")).distinct()
+    return wanted, ran
+
+
+_PAIRS_SQL = "SELECT e.episode_id, r.operation, r.col FROM (SELECT DISTINCT episode_id FROM steps) e, req r"
+_RAN_SQL = "SELECT episode_id, operation, \"column\" FROM steps WHERE operation IS NOT NULL"
+
+
+@register("required_op_missing", lambda: _we(f"{_PAIRS_SQL} EXCEPT {_RAN_SQL}", [("req", _required_sql())]))
+def required_op_missing(spark, sf):
+    """Required operations that an episode never ran (anti join on the distinct
+    operations, null columns matching each other)."""
+    wanted, ran = _required_pairs(spark, sf)
+    same = (wanted.episode_id == ran.episode_id) & (wanted.operation == ran.operation) & wanted["col"].eqNullSafe(ran["col"])
+    return wanted.join(ran, same, "left_anti")
+
+
+@register("required_op_done", lambda: _we(f"{_PAIRS_SQL} INTERSECT {_RAN_SQL}", [("req", _required_sql())]))
+def required_op_done(spark, sf):
+    """Required operations that an episode ran (intersection of key sets)."""
+    wanted, ran = _required_pairs(spark, sf)
+    return wanted.intersect(ran)
+
+
 @register("rew_tool_error", lambda: _ws(
     f"SELECT event_id, CASE WHEN error IS NOT NULL THEN {K.TOOL_ERROR_REWARD}::DOUBLE ELSE reward END AS reward FROM steps"))
 def rew_tool_error(spark, sf):
@@ -263,15 +292,12 @@ def rew_gate_bonus(spark, sf):
     "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS q FROM steps) WINDOW w AS (PARTITION BY episode_id "
     "ORDER BY ts, event_id)"))
 def rew_step(spark, sf):
-    """max(-0.15, delta quality - 0.02) with quality = the running return;
-    the delta is a ``lag`` over the episode's ordered steps."""
-    df = _steps(spark, sf)
-    w = W.partitionBy("episode_id").orderBy(*ORDER)
-    q = F.sum(F.coalesce("reward", F.lit(0.0))).over(w.rowsBetween(W.unboundedPreceding, 0))
-    d = df.select("episode_id", "event_id", *ORDER, q.alias("q"))
-    delta = F.col("q") - F.coalesce(F.lag("q").over(w), F.lit(0.0))
-    return d.select("event_id", F.round(F.greatest(F.lit(K.STEP_MAX_NEGATIVE), delta - K.STEP_IMPROVEMENT_MARGIN), 6)
-                    .alias("reward"))
+    """max(-0.15, delta quality - 0.02) with quality = the running return. The
+    return rises by the step's own reward, so no window over the episode is
+    needed, however long it is."""
+    delta = F.coalesce("reward", F.lit(0.0))
+    return _steps(spark, sf).select("event_id", F.round(
+        F.greatest(F.lit(K.STEP_MAX_NEGATIVE), delta - K.STEP_IMPROVEMENT_MARGIN), 6).alias("reward"))
 
 
 @register("rew_final", lambda: _we(
