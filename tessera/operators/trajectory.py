@@ -119,28 +119,35 @@ def aggregate_metrics(episodes: DataFrame, group: list[str] | None = None) -> Da
 LEVELS = [("easy", 100, 22, 0.70, 10), ("medium", 500, 18, 0.65, 15), ("hard", 1000, 15, 1.01, 20)]
 
 
+def promote(episodes, level: int = 0, window: list[bool] | None = None):
+    """The promotion rule over one run's (episode_no, success) in order, from a
+    level and its window on: rows of episodes, and the state after them."""
+    window, rows = list(window or []), []
+    for ep, ok in episodes:
+        name, _, _, threshold, size = LEVELS[level]
+        window = [*window, bool(ok)][-size:]
+        rate = sum(window) / len(window)
+        promoted = level < len(LEVELS) - 1 and len(window) >= size and rate >= threshold
+        if promoted:
+            level, window = level + 1, []
+        rows.append((int(ep), name, LEVELS[level][0], round(rate, 4), promoted))
+    return rows, level, window
+
+
+def promotion_frame(run_id: int, rows: list[tuple]):
+    import pandas as pd
+    return pd.DataFrame([(int(run_id), *r) for r in rows], columns=[
+        "run_id", "episode_no", "difficulty", "next_difficulty", "window_success_rate", "promoted"])
+
+
 def promotion_state(pdf):
-    """Sequential promotion state machine for ONE run (pandas, in a task).
+    """All episodes of ONE run (pandas, in a task).
 
     A run is a handful of episodes (one per day here), so the group is small
     by construction; runs are processed in parallel by ``applyInPandas``."""
-    import pandas as pd
     pdf = pdf.sort_values("episode_no")
-    level, window, rows = 0, [], []
-    for ep, ok in zip(pdf["episode_no"], pdf["success"]):
-        name, _, _, thr, size = LEVELS[level]
-        window.append(bool(ok))
-        if len(window) > size:
-            window.pop(0)
-        rate = sum(window) / len(window)
-        promoted = False
-        if level < len(LEVELS) - 1 and len(window) >= size and rate >= thr:
-            level += 1
-            window = []
-            promoted = True
-        rows.append((int(pdf["run_id"].iloc[0]), int(ep), name, LEVELS[level][0], round(rate, 4), promoted))
-    return pd.DataFrame(rows, columns=["run_id", "episode_no", "difficulty", "next_difficulty", "window_success_rate",
-                                       "promoted"])
+    rows, _, _ = promote(zip(pdf["episode_no"], pdf["success"]))
+    return promotion_frame(pdf["run_id"].iloc[0], rows)
 
 
 PROMOTION_SCHEMA = ("run_id long, episode_no long, difficulty string, next_difficulty string, "

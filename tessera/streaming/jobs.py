@@ -117,26 +117,13 @@ def session_metrics(steps: DataFrame, gap: str = "30 minutes") -> DataFrame:
 # ------------------------------------------------------------- curriculum
 def _promote(key, pdfs, state):
     """Per run: keep (level, window bits) in state across micro-batches."""
-    from tessera.operators.trajectory import LEVELS
-    level, window = (state.get if state.exists else (0, ""))
-    window = [c == "1" for c in window]
-    out = []
+    from tessera.operators.trajectory import promote, promotion_frame
+    level, window = state.get if state.exists else (0, "")
     batch = pd.concat(list(pdfs), ignore_index=True).sort_values("episode_no")
-    for pdf in [batch]:
-        for ep, ok in zip(pdf["episode_no"], pdf["success"]):
-            name, _, _, thr, size = LEVELS[level]
-            window.append(bool(ok))
-            if len(window) > size:
-                window.pop(0)
-            rate = sum(window) / len(window)
-            promoted = False
-            if level < len(LEVELS) - 1 and len(window) >= size and rate >= thr:
-                level, window, promoted = level + 1, [], True
-            out.append((int(key[0]), int(ep), name, LEVELS[level][0], round(rate, 4), promoted))
+    rows, level, window = promote(zip(batch["episode_no"], batch["success"]), level, [c == "1" for c in window])
     state.update((level, "".join("1" if b else "0" for b in window)))
-    if out:
-        yield pd.DataFrame(out, columns=["run_id", "episode_no", "difficulty", "next_difficulty",
-                                         "window_success_rate", "promoted"])
+    if rows:
+        yield promotion_frame(key[0], rows)
 
 
 def curriculum_stream(episodes: DataFrame) -> DataFrame:
