@@ -17,7 +17,9 @@ is used to read the model file only.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +28,9 @@ from pyspark.sql import functions as F
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Encoded words and tested pairs kept from batch to batch in a task's Python process.
-KEPT_WORDS = 500_000
-KEPT_PAIRS = 1_000_000
+#: Encoded words kept from batch to batch of a task, and tested pairs kept by a process.
+KEPT_WORDS = 100_000
+KEPT_PAIRS = 300_000
 #: Characters of text handled at a time.
 CHARS = 4 << 20
 
@@ -143,10 +145,11 @@ class PieceModel:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [marked_words(t) for t in texts]
         kept = self.words
-        fresh = self.encode_sorted(sorted({w for words in cut for w in words if w not in kept}))
-        room = KEPT_WORDS - len(kept)
-        for word in fresh if room >= len(fresh) else list(fresh)[:max(room, 0)]:
-            kept[word] = fresh[word]
+        counts = Counter(chain.from_iterable(cut))
+        fresh = self.encode_sorted(sorted(w for w in counts if w not in kept))
+        if len(kept) < KEPT_WORDS:  # words that come once are not worth their place
+            again = [w for w in fresh if counts[w] > 1]
+            kept.update((w, fresh[w]) for w in again[:KEPT_WORDS - len(kept)])
         out = []
         for words in cut:
             ids: list[int] = []
@@ -155,6 +158,11 @@ class PieceModel:
             out.append(np.array(ids, np.int32))
         return out
 
+    def forget(self) -> None:
+        """Drops the words kept from batch to batch. Spark hands a task to any of an
+        executor's idle Python processes, so each would else hold a store of its own."""
+        self.words.clear()
+
     def decode(self, ids: list[int]) -> str:
         """Text of the ids: byte pieces joined as UTF-8, marks as spaces, the first mark dropped."""
         out, held = [], bytearray()
@@ -192,7 +200,7 @@ _models: dict[tuple[str, str], PieceModel] = {}
 
 
 def model(path: str, kind: str) -> PieceModel:
-    """The process's model; its word store lasts from batch to batch."""
+    """The process's model; its word store lasts from batch to batch of a task."""
     if (path, kind) not in _models:
         _models[path, kind] = PieceModel(path, kind)
     return _models[path, kind]
@@ -231,6 +239,7 @@ def encode_documents(docs: DataFrame, path: str = MODEL_PATH, kind: str = "bpe",
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), pa.array([len(i) for i in ids], pa.int64()), lists, pa.array(same, pa.bool_())],
                                                  names=[*keep, *new])
                 start = end
+        pieces.forget()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
     rows = docs.select(*dict.fromkeys([*keep, "text"])).withColumn("text", F.col("text").cast("string"))
