@@ -443,14 +443,16 @@ def eval_heatmap(spark, sf):
 
 
 @register("eval_topk_showcase", lambda: S.with_fixtures(["answers"], (
-    "SELECT persona_role, doc_id, reward, rank FROM (SELECT persona_role, doc_id, reward, row_number() OVER "
-    f"(PARTITION BY persona_role ORDER BY reward DESC, doc_id ASC) AS rank FROM ({_answer_reward_sql()})) WHERE rank <= 2")))
+    "SELECT b.persona_role, b.doc_id, b.reward, b.rank, a.answer FROM (SELECT persona_role, doc_id, reward, row_number() OVER "
+    f"(PARTITION BY persona_role ORDER BY reward DESC, doc_id ASC) AS rank FROM ({_answer_reward_sql()})) b JOIN answers a USING (doc_id) WHERE b.rank <= 2")))
 def eval_topk_showcase(spark, sf):
-    """Best two answers per persona (a top-k report: the limit is the feature)."""
+    """Best two answers per persona (a top-k report: the limit is the feature),
+    with their whole texts, which are joined after the ranking."""
     r = _answer_rewards(spark, sf)
     w = W.partitionBy("persona_role").orderBy(F.col("reward").desc(), F.col("doc_id").asc())
-    return r.select("persona_role", "doc_id", "reward", F.row_number().over(w).cast("long").alias("rank")).where(
+    best = r.select("persona_role", "doc_id", "reward", F.row_number().over(w).cast("long").alias("rank")).where(
         F.col("rank") <= 2)
+    return best.join(X.answers(spark, sf).select("doc_id", "answer"), "doc_id")
 
 
 @register("eval_improvement_pct", lambda: _we(
