@@ -24,10 +24,10 @@ NUM_KIND = {"Age": "int", "MonthlyIncome": "dbl", "YearsAtCompany": "int", "Dist
 
 
 # ------------------------------------------------------------- task tables
-def _task_sql(task: str, dirty: bool) -> str:
+def _task_sql(task: str, dirty: bool, profile: str = "medium") -> str:
     if not dirty:
         return f"WITH v AS ({ST.task_view_sql(task)}) SELECT * FROM v"
-    ctes, last = ST.noise_ctes(task, "n")
+    ctes, last = ST.noise_ctes(task, "n", profile)
     return "WITH " + ",\n".join(f"{n} AS ({s})" for n, s in ctes) + f"\nSELECT * FROM {last}"
 
 
@@ -44,6 +44,9 @@ for _task, _short in _SHORT.items():
         lambda spark, sf, t=_task: TK.TASK_VIEWS[t](spark, sf))
     register(f"noise_profile_{_short}", lambda t=_task: _task_sql(t, True))(
         lambda spark, sf, t=_task: TK.dirty_task(spark, sf, t))
+    for _profile in ("light", "heavy"):
+        register(f"noise_profile_{_short}_{_profile}", lambda t=_task, p=_profile: _task_sql(t, True, p))(
+            lambda spark, sf, t=_task, p=_profile: TK.dirty_task(spark, sf, t, p))
     register(f"clean_policy_{_short}", lambda t=_task: _policy_sql(t))(
         lambda spark, sf, t=_task: compile_policy(TK.dirty_task(spark, sf, t), TASK_POLICIES[t]))
 
