@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import (ann, embed_dedup, html_extract, langid, mixing, ngram_join, pii, queries, sentencepiece, sharding,
                          substring_dedup)
+from tessera.llm.common import shingles
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, k1 string, n long, part int"
@@ -94,6 +95,39 @@ def test_substring_dedup(spark, docs):
     assert all(abs(hit[1000 + i][0] - (30 + i)) <= 2 and abs(hit[1000 + i][1] - (85 + i)) <= 2 for i in range(30))
 
 
+def tokens_of(text):
+    return (shingles([text.encode()], 5)[0] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def test_exact_part_of_a_half_edited_text():
+    rng = random.Random(6)
+    same, other = words(rng, 100, 10**6), words(rng, 160, 10**6).split()
+    edited = " ".join("new" + w if i % 8 == 7 else w for i, w in enumerate(other))
+    other = " ".join(other)
+    for a, b, lo in ((f"{same} {other}", f"{same} {edited}", 0), (f"{other} {same}", f"{edited} {same}", 160)):
+        for x, y in ((a, b), (b, a)):
+            found = substring_dedup.passages(tokens_of(x), tokens_of(y), 46, 80)
+            assert any(p[0] <= lo and lo + 95 <= p[1] for p in found) and all(100 * p[4] >= 80 * p[5] for p in found)
+
+
+def test_equal_runs_are_found_among_repeats():
+    for n in range(300):
+        rng = np.random.default_rng(n)
+        pool = int(rng.integers(3, 60))
+        run = rng.integers(0, pool, 12)
+        a, b = (np.concatenate([rng.integers(0, pool, rng.integers(0, 25)), run, rng.integers(0, pool, rng.integers(0, 25))]).astype(np.int32) for _ in "ab")
+        assert substring_dedup.passages(a, b, 10, 80)
+
+
+def test_passage_with_an_insertion_from_both_sides():
+    rng = random.Random(8)
+    plain = words(rng, 90, 10**6).split()
+    longer = " ".join(plain[:45] + words(rng, 9, 10**6).split() + plain[45:])
+    for a, b in ((" ".join(plain), longer), (longer, " ".join(plain))):
+        (found,) = substring_dedup.passages(tokens_of(a), tokens_of(b), 46, 80)
+        assert found[4:] == (82, 99)
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
             "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
