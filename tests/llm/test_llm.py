@@ -128,6 +128,13 @@ def test_passage_with_an_insertion_from_both_sides():
         assert found[4:] == (82, 99)
 
 
+def test_hashes_agree_across_the_edge_of_a_bucket(spark):
+    near = [(0, 1, 0, 63, 90, 2, 0, 0, 50), (1, 1, 5, 65, 95, 2, 0, 1, 60), (2, 1, 5, 400, 450, 2, 0, 1, 60)]
+    rows = spark.createDataFrame(near, "j int, doc_a long, l_a int, c_a int, r_a int, doc_b long, l_b int, c_b int, r_b int")
+    found = {(r.agree, r.lo_a, r.hi_a, r.lo_b, r.hi_b) for r in substring_dedup.agreeing(rows).collect()}
+    assert found == {(2, 0, 95, 0, 60), (1, 5, 450, 0, 60)}
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
             "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
