@@ -135,6 +135,21 @@ def test_hashes_agree_across_the_edge_of_a_bucket(spark):
     assert found == {(2, 0, 95, 0, 60), (1, 5, 450, 0, 60)}
 
 
+def test_identical_passages_of_interleaved_variants(spark):
+    rng = random.Random(9)
+    rows, at = [], {}
+    for k in range(12):  # passages that differ in two places, similarity under 0.8
+        a = words(rng, 55, 10**6).split()
+        b = [("new" if i in (18, 36) else "") + w for i, w in enumerate(a)]
+        for i in range(16):
+            rows.append((100 * k + i, " ".join([*words(rng, 70, 10**6).split(), *(b if i % 2 else a), *words(rng, 70, 10**6).split()])))
+    out = substring_dedup.near_duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for r in out:
+        at.setdefault(r.doc_id, set()).add(r.other_id)
+        assert r.doc_id // 100 == r.other_id // 100 and r.similarity >= 0.8
+    assert all(100 * k + i % 2 in at[100 * k + i] for k in range(12) for i in range(2, 16))
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
             "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
