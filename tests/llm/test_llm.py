@@ -381,6 +381,23 @@ def test_mixing(spark, docs):
     assert all(r.mix_probability == 0 for r in only if r.source != "a")
 
 
+def test_every_source_has_its_own_target(spark):
+    rows = spark.createDataFrame([(i, "one two three four", "en", f"site{i % 600:03}") for i in range(1200)], "doc_id long, text string, lang string, source string")
+    equal = {round(r.mix_probability, 9) for r in mixing.mix_documents(rows, keep=0.5, topics=1).collect()}
+    assert equal == {0.5}
+    out = mixing.mix_documents(rows, keep=0.002, topics=1, targets={"source": {"site599": 0.75, "site001": 0.25, "absent": 1.0}}).collect()
+    p = {r.source: r.mix_probability for r in out}
+    assert p["site599"] == pytest.approx(0.9) and p["site001"] == pytest.approx(0.3) and sum(p.values()) == pytest.approx(1.2)
+
+
+def test_raking_by_spark_equals_the_driver(spark):
+    rows = [("b", "de", 0, 0)] + [(s, g, 0, n * m) for s, n in (("a", 30), (None, 2), ("b", 1)) for g, m in (("en", 20), (None, 3))]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic int, tokens long").coalesce(1)
+    few, many = (sorted((str(r[:3]), round(r[3], 6)) for r in f(spark, c, 0.5, {"lang": {"en": 3.0, None: 1.0}}, 0.7).collect())
+                 for f, c in ((mixing._few, cells.collect()), (mixing._many, cells)))
+    assert few == many and any(p == 1 for _, p in few)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "ngram_dedup", "mask_pii", "mix_sources", "encode"]
