@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, embed_dedup, html_extract, langid, mixing, ngram_join, pii, sentencepiece, sharding, substring_dedup
+from tessera.llm import (ann, embed_dedup, html_extract, langid, merkle, mixing, ngram_join, pii, sentencepiece, sharding,
+                         substring_dedup)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,9 +60,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    return merkle.merkle_manifest(_table(spark, sf_dir, "documents"), tampered=tampered)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_language_id, op2_substring_dedup, op3_pii, op4_ngram_jaccard_join, op5_html_extraction, op6_nearest_neighbours,
-        op7_sentencepiece, op8_sharding, op9_embedding_dedup, op10_mixing)}
+        op7_sentencepiece, op8_sharding, op9_embedding_dedup, op10_mixing, op11_merkle_manifest)}
 
-ORACLE: dict[str, str] = {"op6_nearest_neighbours": ann.ANN_SQL, "op8_sharding": sharding.SHARDING_SQL}
+ORACLE: dict[str, str] = {"op6_nearest_neighbours": ann.ANN_SQL, "op8_sharding": sharding.SHARDING_SQL,
+                          "op11_merkle_manifest": merkle.MERKLE_SQL}
