@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import (ann, embed_dedup, html_extract, langid, merkle, mixing, ngram_join, pii, sentencepiece, sharding,
-                         substring_dedup)
+                         substring_dedup, wavelet)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,10 +65,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.merkle_manifest(_table(spark, sf_dir, "documents"), tampered=tampered)
 
 
+def op12_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.encode_and_read(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_language_id, op2_substring_dedup, op3_pii, op4_ngram_jaccard_join, op5_html_extraction, op6_nearest_neighbours,
-        op7_sentencepiece, op8_sharding, op9_embedding_dedup, op10_mixing, op11_merkle_manifest)}
+        op7_sentencepiece, op8_sharding, op9_embedding_dedup, op10_mixing, op11_merkle_manifest, op12_wavelet_tokens)}
 
 ORACLE: dict[str, str] = {"op6_nearest_neighbours": ann.ANN_SQL, "op8_sharding": sharding.SHARDING_SQL,
                           "op11_merkle_manifest": merkle.MERKLE_SQL}
