@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import (ann, embed_dedup, html_extract, langid, merkle, mixing, ngram_join, pii, sentencepiece, sharding,
-                         substring_dedup, wavelet)
+from tessera.llm import (ann, collocations, embed_dedup, html_extract, langid, merkle, mixing, ngram_join, pii, sentencepiece,
+                         sharding, substring_dedup, wavelet)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,10 +69,15 @@ def op12_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.encode_and_read(_table(spark, sf_dir, "documents"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_language_id, op2_substring_dedup, op3_pii, op4_ngram_jaccard_join, op5_html_extraction, op6_nearest_neighbours,
-        op7_sentencepiece, op8_sharding, op9_embedding_dedup, op10_mixing, op11_merkle_manifest, op12_wavelet_tokens)}
+        op7_sentencepiece, op8_sharding, op9_embedding_dedup, op10_mixing, op11_merkle_manifest, op12_wavelet_tokens, op13_phrase_collocations)}
 
 ORACLE: dict[str, str] = {"op6_nearest_neighbours": ann.ANN_SQL, "op8_sharding": sharding.SHARDING_SQL,
-                          "op11_merkle_manifest": merkle.MERKLE_SQL}
+                          "op11_merkle_manifest": merkle.MERKLE_SQL,
+                          "op13_phrase_collocations": collocations.COLLOCATIONS_SQL}
