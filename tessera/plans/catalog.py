@@ -24,6 +24,7 @@ MODULES = [
     "tessera.plans.q_standardize",
     "tessera.plans.q_streaming",
     "tessera.plans.q_extensions",
+    "tessera.plans.q_demonstrations",
 ]
 
 
