@@ -32,6 +32,10 @@ def _thresholds(df: DataFrame, hashes: dict[str, Column], k: int, n: int) -> dic
     return stats.kth_smallest(df, hashes, {c: min(k, n) - 1 for c in hashes}, n)
 
 
+#: Decimals of the two outlier values.
+OUTLIER_DECIMALS = 9
+
+
 # ---------------------------------------------------- tool-family noise
 def noise_missing(df: DataFrame, key: str, columns: list[str], p: float, seed: int = 42) -> DataFrame:
     k = F.col(key)
@@ -67,7 +71,8 @@ def noise_outliers(df: DataFrame, key: str, columns: list[str], p: float, seed:
             out[c] = vals[c]
             continue
         iqr = q3 - q1
-        hi, lo = q3 + 10 * iqr, q1 - 10 * iqr
+        # rounded, so that the last place does not depend on the engine's order of operations
+        hi, lo = round(q3 + 10 * iqr, OUTLIER_DECIMALS), round(q1 - 10 * iqr, OUTLIER_DECIMALS)
         side = F.when(hash_uniform(k, seed, c, "side") < 0.5, F.lit(hi)).otherwise(F.lit(lo))
         out[c] = F.when(hash_uniform(k, seed, c, "outlier") < p, side).otherwise(vals[c])
     return df.withColumns(out)

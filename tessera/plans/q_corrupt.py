@@ -91,8 +91,8 @@ def _outliers_sql() -> str:
     sel = []
     for c in _EC["numeric"]:
         q1, q3 = f"q1_{c}", f"q3_{c}"
-        side = (f"(CASE WHEN {uni(_ECK, SEED, c, 'side')} < 0.5 THEN {q3} + 10 * ({q3} - {q1}) "
-                f"ELSE {q1} - 10 * ({q3} - {q1}) END)")
+        hi, lo = (S.sround(x, CR.OUTLIER_DECIMALS) for x in (f"{q3} + 10 * ({q3} - {q1})", f"{q1} - 10 * ({q3} - {q1})"))
+        side = f"(CASE WHEN {uni(_ECK, SEED, c, 'side')} < 0.5 THEN {hi} ELSE {lo} END)"
         sel.append(f"CASE WHEN ({q3} - {q1}) > 0 AND {uni(_ECK, SEED, c, 'outlier')} < 0.02 THEN {side} "
                    f"ELSE {c} END AS {c}")
     qs = ", ".join(f"quantile_cont({c}, 0.25) AS q1_{c}, quantile_cont({c}, 0.75) AS q3_{c}" for c in _EC["numeric"])

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from tessera.functions import constants as K
-from tessera.operators.corrupt import NOISE_PROFILES
+from tessera.operators.corrupt import NOISE_PROFILES, OUTLIER_DECIMALS
 from tessera.sources import tasks as TK
 from tessera.plans import sqlkit as S
-from tessera.plans.sqlkit import Sql, hpick, pick, q, uni
+from tessera.plans.sqlkit import Sql, hpick, pick, q, sround, uni
 
 SEQ = 1 << 40
 
@@ -81,7 +81,8 @@ def noise_ctes(task: str, prefix: str, profile: str = "medium", seed: int = 42)
     for c in num:
         v = S.parse_double(c, types[c] == "num")
         q1, q3 = f"q1_{c}", f"q3_{c}"
-        side = f"(CASE WHEN {uni(rk, seed, c, 'side')} < 0.5 THEN {q3} + 10 * ({q3} - {q1}) ELSE {q1} - 10 * ({q3} - {q1}) END)"
+        hi, lo = (sround(x, OUTLIER_DECIMALS) for x in (f"{q3} + 10 * ({q3} - {q1})", f"{q1} - 10 * ({q3} - {q1})"))
+        side = f"(CASE WHEN {uni(rk, seed, c, 'side')} < 0.5 THEN {hi} ELSE {lo} END)"
         out[c] = f"CASE WHEN ({q3} - {q1}) > 0 AND {uni(rk, seed, c, 'outlier')} < {po} THEN {side} ELSE {v} END"
     ctes.append((f"{prefix}4", sel(out, f"{prefix}3, {prefix}q", ", _copy, _rk")))
     drift = {}
