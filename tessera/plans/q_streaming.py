@@ -3,17 +3,16 @@ tables (availableNow) and returns its sink as a table."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.trajectory import ordered_prefix
 from tessera.plans import sqlkit as S
 from tessera.plans.catalog import register
 from tessera.plans.policy import ORDERS_POLICY, compile_projection
 from tessera.plans.q_clean import _policy_ctes
-from tessera.session import ensure_checkpoint_dir
+from tessera.plans.q_trajectory import promotion_sql
 from tessera.sources import fixtures as X
+from tessera.sources.tables import read_table
 from tessera.streaming import jobs as J
 
 
@@ -74,21 +73,27 @@ def stream_dedup(spark, sf):
     "CASE WHEN ts > lag(ts) OVER (PARTITION BY run_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS opens FROM steps)) "
     "GROUP BY run_id, s")))
 def stream_episode_metrics(spark, sf):
-    """Episode totals per run, closed by 30 minutes of inactivity."""
-    steps = J.event_time(X.steps_from(J.stream_table(spark, sf, "events")))
-    found = J.run_updates(spark, J.session_metrics(steps), "sessions", ["run_id", "session_start"], mode="complete")
+    """Episode totals per run, closed by 30 minutes of inactivity, each given out
+    once (append mode); the replayed log ends with an end-of-input row."""
+    log = J.closed_log(spark, read_table(spark, sf, "events"), "steps")
+    events = spark.readStream.schema(read_table(spark, sf, "events").schema).parquet(log)
+    found = J.run_to_table(spark, J.session_metrics(J.event_time(X.steps_from(events))), "sessions")
     return _plain_time(found, "session_start", "session_end")
 
 
-@register("stream_curriculum")
-def stream_curriculum(spark, sf):
-    """Promotion state per run over the episode log as a stream: the batch
-    episode table is written to the shared folder and replayed."""
+def episode_log(spark, sf):
+    """(run_id, episode_no, ts, success): a run's daily episodes, numbered in order."""
     from tessera.plans.q_trajectory import _episodes
-    eps = _episodes(spark, sf)
-    w = W.partitionBy("run_id").orderBy("day")
-    log = eps.select("run_id", (F.row_number().over(w) - 1).cast("long").alias("episode_no"), "success")
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/episode-log-{uuid.uuid4().hex}"
-    log.repartition("run_id").sortWithinPartitions("run_id", "episode_no").write.mode("overwrite").parquet(path)
+    numbered = ordered_prefix(_episodes(spark, sf).select("run_id", "day", "success"), ["run_id"], ["day"], {})
+    return numbered.select("run_id", F.col("idx").alias("episode_no"), F.timestamp_seconds((F.col("day") + 1) * 86400).alias("ts"), "success")
+
+
+@register("stream_curriculum", lambda: promotion_sql("run_id, episode_no, difficulty, next_difficulty, window_success_rate, promoted"))
+def stream_curriculum(spark, sf):
+    """Promotion state per run over the replayed episode log, whatever the order in
+    which its files come."""
+    log = episode_log(spark, sf)
+    path = J.closed_log(spark, log, "episodes", marks={"run_id": -1})
     stream = spark.readStream.schema(log.schema).parquet(path)
-    return J.run_to_table(spark, J.curriculum_stream(stream), "curriculum")
+    with J.rocksdb_state(spark):
+        return J.run_to_table(spark, J.curriculum_stream(stream), "curriculum")

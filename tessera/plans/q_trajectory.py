@@ -501,7 +501,24 @@ def rew_e2e(spark, sf):
 
 
 # ------------------------------------------------------------ curriculum
-@register("cur_promotion")
+def promotion_sql(columns: str) -> str:
+    """DuckDB: the promotion rule, one episode of every run at a time."""
+    levels = "(VALUES " + ", ".join(f"({i}, {S.q(name)}, {rows}, {steps}, {rate}, {size})" for i, (name, rows, steps, rate, size) in enumerate(T.LEVELS)) + ") AS l(level, name, n_rows, max_steps, rate, size)"
+    sql = _we(
+        f"SELECT {columns} FROM (SELECT s.run_id, s.no AS episode_no, l.name AS difficulty, n.name AS next_difficulty, "
+        "round((list_sum(s.win) / len(s.win)::DOUBLE)::DECIMAL(38, 12), 4)::DOUBLE AS window_success_rate, s.up AS promoted, l.n_rows AS n_rows, l.max_steps AS max_steps "
+        "FROM state s JOIN levels l ON l.level = s.level JOIN levels n ON n.level = s.level + s.up::INT WHERE s.no >= 0)",
+        [("levels", f"SELECT * FROM {levels}"),
+         ("eps", "SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY day) - 1 AS no, success::INT AS ok FROM episodes"),
+         ("state(run_id, no, level, win, up)", (
+             "SELECT DISTINCT run_id, -1::BIGINT, 0, []::INT[], false FROM eps UNION ALL "
+             "SELECT run_id, no, level, w, CASE WHEN level < 2 AND len(w) >= size AND list_sum(w) / len(w)::DOUBLE >= rate THEN true ELSE false END FROM ("
+             "SELECT e.run_id, e.no, l.level, l.size, l.rate, list_append(CASE WHEN s.up THEN []::INT[] ELSE s.win END, e.ok)[-l.size:] AS w "
+             "FROM state s JOIN eps e ON e.run_id = s.run_id AND e.no = s.no + 1 JOIN levels l ON l.level = s.level + s.up::INT)"))])
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1).replace("eps AS (", "eps AS MATERIALIZED (")
+
+
+@register("cur_promotion", lambda: promotion_sql("*"))
 def cur_promotion(spark, sf):
     """Per run (one user's daily episodes): difficulty level, window success
     rate and promotions; stateful, so one pandas group per run."""

@@ -10,12 +10,13 @@ exactly where it stopped. ``availableNow`` drains what is there and stops.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from tessera.functions.exprs import is_numeric_like
 from tessera.session import ensure_checkpoint_dir
@@ -93,42 +94,106 @@ def dq_windows(events: DataFrame, window: str = "1 day", slide: str | None = Non
                       F.round(F.least(F.lit(1.0), F.col("approx_distinct") / F.col("n")), 4).alias("uniqueness"))
 
 
-def dedup_stream(events: DataFrame, keys: list[str] | None = None, watermark: str | None = None) -> DataFrame:
-    """First row of each key (default: the whole row), whatever the micro-batches.
-
-    The state holds the distinct keys. Where rows arrive within a bounded delay,
-    give it as ``watermark`` and let ``keys`` include ``ts``: keys older than
-    the watermark are then forgotten, and rows that late are dropped."""
-    rows = events.withWatermark("ts", watermark) if watermark else events
-    return rows.dropDuplicates(keys or events.columns)
-
-
-def session_metrics(steps: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """Episode totals closed by inactivity: a session window per run. Run it
-    with ``run_updates`` in complete mode (sessions have no update mode), so
-    that sessions open at the end count too."""
-    s = (steps.withWatermark("ts", gap).groupBy("run_id", F.session_window("ts", gap).alias("s"))
+def dedup_stream(events: DataFrame, keys: list[str] | None = None, delay: str = "7 days") -> DataFrame:
+    """One row of each key (default: the whole row, with its event time ``ts``).
+
+    Rows may come in any order that is late by ``delay`` at most. A key's state is
+    forgotten once the watermark has passed its event time by that delay, so the state
+    holds the keys of the last ``delay`` only; rows later than that are dropped."""
+    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys or events.columns)
+
+
+def closed_log(spark: SparkSession, rows: DataFrame, name: str, time_col: str = "ts", after: str = "INTERVAL 400 DAYS",
+               marks: dict[str, int] | None = None) -> str:
+    """Writes a log for replay to the shared folder and, as its last file, an
+    end-of-input row: nulls but for ``marks`` and an event time ``after`` the last one.
+    The row moves the watermark past every window or session that is still open, so
+    that append mode gives them out; its own window stays open. An empty log has no such row. Returns the folder."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/log-{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    end = rows.agg(F.max(time_col).alias("_last")).where("_last IS NOT NULL")
+    nulls = [F.lit((marks or {}).get(f.name)).cast(f.dataType).alias(f.name) if f.name != time_col
+             else F.expr(f"_last + {after}").cast(f.dataType).alias(time_col) for f in rows.schema.fields]
+    end.select(*nulls).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def session_metrics(steps: DataFrame, gap: str = "30 minutes", delay: str = "60 days") -> DataFrame:
+    """Episode totals closed by inactivity, in append mode: a session is given out
+    once, when the watermark (``delay`` behind the newest step) has passed its end,
+    and its state is dropped. ``delay`` bounds how late a step may come. Sessions open
+    at the end of a finite log need its end-of-input row (``closed_log``), whose own
+    session never closes. (A filter on the run would be pushed below the watermark,
+    which then would not see that row.)"""
+    s = (steps.withWatermark("ts", delay).groupBy("run_id", F.session_window("ts", gap).alias("s"))
          .agg(F.count(F.lit(1)).alias("steps"), F.sum(F.coalesce("reward", F.lit(0.0))).alias("total_return"),
               F.count_if(F.col("error").isNotNull()).alias("invalid_actions")))
-    return s.select("run_id", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"),
-                    "steps", F.round("total_return", 6).alias("total_return"), "invalid_actions")
+    return s.select(
+        "run_id", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"),
+        "steps", F.round("total_return", 6).alias("total_return"), "invalid_actions")
 
 
 # ------------------------------------------------------------- curriculum
-def _promote(key, pdfs, state):
-    """Per run: keep (level, window bits) in state across micro-batches."""
-    from tessera.operators.trajectory import promote, promotion_frame
-    level, window = state.get if state.exists else (0, "")
-    batch = pd.concat(list(pdfs), ignore_index=True).sort_values("episode_no")
-    rows, level, window = promote(zip(batch["episode_no"], batch["success"]), level, [c == "1" for c in window])
-    state.update((level, "".join("1" if b else "0" for b in window)))
-    if rows:
-        yield promotion_frame(key[0], rows)
-
-
-def curriculum_stream(episodes: DataFrame) -> DataFrame:
-    """Promotion state per run with ``applyInPandasWithState`` (episodes of
-    a run must arrive in episode order, as they do from the episode log)."""
+class Promotions(StatefulProcessor):
+    """Per run: episodes wait in a keyed buffer until the watermark has passed their
+    event time, and are then promoted in the order of their number. What comes late
+    by less than the watermark's delay, or split over batches, thus changes nothing.
+    State: the buffer (episodes of the last ``delay``), the level and its window."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "episode_no long", "run_id long, ms long, success boolean")
+        self.level = handle.getValueState("level", "level int, window string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        for pdf in rows:
+            pdf = pdf[pdf["episode_no"].notna()]  # the end-of-input row only moves the watermark
+            for run_id, number, ts, success in zip(pdf["run_id"], pdf["episode_no"], pdf["ts"], pdf["success"]):
+                ms = int(pd.Timestamp(ts).value // 1_000_000)
+                self.waiting.updateValue((int(number),), (int(run_id), ms, bool(success)))
+                self.handle.registerTimer(ms)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        from tessera.operators.trajectory import promote, promotion_frame
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        due = sorted((number, ok, run_id) for (number,), (run_id, ms, ok) in self.waiting.iterator() if ms <= now)
+        if not due:
+            return iter([])
+        level, window = self.level.get() if self.level.exists() else (0, "")
+        rows, level, window = promote([(number, ok) for number, ok, _ in due], int(level), [c == "1" for c in window])
+        self.level.update((level, "".join("1" if ok else "0" for ok in window)))
+        for number, _, _ in due:
+            self.waiting.removeKey((number,))
+        return iter([promotion_frame(due[0][2], rows)])
+
+    def close(self) -> None:
+        pass
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def curriculum_stream(episodes: DataFrame, delay: str = "60 days") -> DataFrame:
+    """Promotion state per run over (run_id, episode_no, ts, success), with
+    ``transformWithStateInPandas``. Episodes may come in any order that is late by
+    ``delay`` at most; within a run, event times rise with the episode's number. Event
+    times lie after 1970; rows without a run are left out. The last episodes need the
+    log's end-of-input row, with a run of its own (a group of the null key confuses the
+    timers of its partition) and no episode number. Run it with the RocksDB state
+    store (``rocksdb_state``)."""
     from tessera.operators.trajectory import PROMOTION_SCHEMA
-    return episodes.groupBy("run_id").applyInPandasWithState(
-        _promote, PROMOTION_SCHEMA, "level int, window string", "append", GroupStateTimeout.NoTimeout)
+    return episodes.where("run_id IS NOT NULL").withWatermark("ts", delay).groupBy("run_id").transformWithStateInPandas(
+        statefulProcessor=Promotions(), outputStructType=PROMOTION_SCHEMA, outputMode="append", timeMode="EventTime")
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """The session's state store is RocksDB inside, and what it was before afterwards."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)

@@ -66,6 +66,66 @@ def test_stream_curriculum_equals_batch(spark):
     assert a == b
 
 
+def _replay(spark, rows, path, order):
+    """Files of the log, written one after the other in the given order."""
+    for part in order:
+        rows.where(f"part = {part}").drop("part").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_stream_curriculum_does_not_depend_on_files(spark, tmp_path):
+    """Shuffled files, split episodes of a run and one file give equal rows."""
+    import random
+
+    from pyspark.sql import functions as F
+    from tessera.operators.trajectory import promote
+    from tessera.streaming import jobs as J
+    rng = random.Random(4)
+    runs = {r: [rng.random() < 0.8 for _ in range(30)] for r in range(5)}
+    rows = spark.createDataFrame([(r, i, 86400 * (i + 1) + r, ok, (i * 7 + r) % 6) for r, oks in runs.items() for i, ok in enumerate(oks)],
+                                 "run_id long, episode_no long, at long, success boolean, part int").withColumn("ts", F.timestamp_seconds("at")).drop("at")
+    end = spark.createDataFrame([(-1, None, None, 9)], "run_id long, episode_no long, success boolean, part int").withColumn("ts", F.timestamp_seconds(F.lit(10**8))).select(rows.columns)
+    want = sorted((r, *row) for r, oks in runs.items() for row in promote(enumerate(oks))[0])
+    for name, order in (("shuffled", [3, 0, 5, 1, 4, 2, 9]), ("one", None)):
+        if order is None:
+            rows.unionByName(end).drop("part").coalesce(1).write.parquet(f"{tmp_path}/one")
+            stream = spark.readStream.schema(rows.drop("part").schema).parquet(f"{tmp_path}/one")
+        else:
+            stream = _replay(spark, rows.unionByName(end), f"{tmp_path}/{name}", order)
+        with J.rocksdb_state(spark):
+            got = J.run_to_table(spark, J.curriculum_stream(stream), "c")
+        assert sorted(map(tuple, got.collect())) == want, name
+
+
+def test_state_of_streams_shrinks(spark, tmp_path):
+    """Deduplication and sessions forget what the watermark has passed."""
+    from pyspark.sql import functions as F
+    from tessera.streaming import jobs as J
+    rows = spark.range(3000).select((F.col("id") % 7).alias("run_id"), F.timestamp_seconds(F.col("id") * 600 + 86400).alias("ts"), F.lit(1.0).alias("reward"),
+                                    F.lit(None).cast("string").alias("error"), (F.col("id") / 300).cast("int").alias("part"))
+    late = rows.where("part < 9").withColumn("part", F.col("part") + 1).sample(0.3, 5)  # again, one file later
+    for name, build, want in (("dedup", lambda s: J.dedup_stream(s, delay="3 days"), 3000), ("sessions", lambda s: J.session_metrics(s, "2 hours", "3 days"), None)):
+        both = rows.unionByName(late) if name == "dedup" else rows
+        stream = _replay(spark, both, f"{tmp_path}/{name}", range(10))
+        q = (build(stream).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/{name}-c").option("path", f"{tmp_path}/{name}-out")
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+        sizes = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+        assert len(sizes) >= 10 and max(sizes) < 1500, (name, sizes)
+        if want:
+            assert spark.read.parquet(f"{tmp_path}/{name}-out").count() == want
+
+
+def test_end_of_input_closes_sessions(spark):
+    from pyspark.sql import functions as F
+    from tessera.streaming import jobs as J
+    rows = spark.range(100).select((F.col("id") % 3).alias("run_id"), F.timestamp_seconds(F.col("id") * 60).alias("ts"), F.lit(1.0).alias("reward"), F.lit(None).cast("string").alias("error"))
+    for some in (rows, rows.limit(0)):
+        path = J.closed_log(spark, some, "t")
+        got = J.run_to_table(spark, J.session_metrics(spark.readStream.schema(rows.schema).parquet(path)), "t").collect()
+        assert sum(r.steps for r in got) == some.count() and all(r.run_id is not None for r in got)
+
+
 def test_discounted_returns_of_a_long_episode(spark):
     from pyspark.sql import functions as F
     from tessera.operators.trajectory import discounted_returns
