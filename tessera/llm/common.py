@@ -3,7 +3,9 @@ and connected components by alternating stars."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -118,6 +120,35 @@ def text_slices(batches: Iterable[pa.RecordBatch], id_col: str = "doc_id", text_
             yield batch.slice(a, b - a), blobs[a:b]
 
 
+def give_back() -> None:
+    """Gives freed memory of this process back to the machine: Python workers are
+    used again by later stages, beside which it would lie idle."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+#: What operators keep in this process from task to task, by name.
+stores: dict[str, dict] = {}
+
+
+def tidied(run: Callable[[Iterator], Iterator], keeps: str | None = None) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow: what other operators keep in the process is dropped
+    at the start of each task, and free memory given back at its end."""
+    def tidy(batches: Iterator) -> Iterator:
+        for name, store in stores.items():
+            if name != keeps:
+                store.clear()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidy
+
+
 def as_long(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values).view(np.int64))
 
@@ -128,6 +159,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` as a table on the cluster's shared folder. Unlike a
+    checkpoint it has its true size in the plans of further joins, where estimates
+    multiply with each join."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph of ``(a, b)`` long edges:
     one row ``(node, root)`` for each node that has an edge to another node,

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed
+from tessera.llm.common import written
 
 #: Bytes of a digest.
 DIGEST = 32
@@ -58,9 +58,9 @@ def numbered(rows: DataFrame, tree: str, order: list[str]) -> DataFrame:
     placed = rows.withColumn("_m", F.monotonically_increasing_id())
     placed = placed.repartitionByRange(n, tree, *order, "_m").sortWithinPartitions(tree, *order, "_m").drop("_m")
     # the bounds are sampled, so the partitions are fixed before they are read again
-    placed = checkpointed(placed.withColumn("_row", F.monotonically_increasing_id()))
+    placed = written(placed.withColumn("_row", F.monotonically_increasing_id()))
     placed = placed.withColumn("_part", F.shiftright("_row", 33))
-    counts = checkpointed(placed.groupBy("_part", tree).agg(F.count("*").alias("_n"), F.min("_row").alias("_first")))
+    counts = written(placed.groupBy("_part", tree).agg(F.count("*").alias("_n"), F.min("_row").alias("_first")))
     group = W.partitionBy(tree)
     starts = counts.select(
         F.col("_part").alias("_p"), F.col(tree).alias("_t"), F.sum("_n").over(group).alias("size"),
@@ -102,10 +102,10 @@ def build_levels(leaves: DataFrame, arity: int = 2) -> list[DataFrame]:
     """Levels ``(tree, idx, size, h, sib)`` of all trees over ``(tree, idx, size, h)``,
     each in the shared folder; a tree's last level has size 1."""
     most = leaves.agg(F.max("size")).first()[0] or 0
-    levels = [checkpointed(_with_siblings(leaves.select("tree", "idx", "size", "h"), arity))]
+    levels = [written(_with_siblings(leaves.select("tree", "idx", "size", "h"), arity))]
     while most > 1:
         most = -(-most // arity)
-        levels.append(checkpointed(_with_siblings(_parents(levels[-1], arity), arity)))
+        levels.append(written(_with_siblings(_parents(levels[-1], arity), arity)))
     return levels
 
 
@@ -120,7 +120,7 @@ def leaf_paths(levels: list[DataFrame], arity: int = 2, above: DataFrame | None
     has a row of further columns for each tree, passed down from its root."""
     extra = [c for c in above.columns if c != "tree"] if above is not None else []
     paths = None
-    for level in reversed(levels):
+    for place, level in reversed(list(enumerate(levels))):
         top = level.where("size = 1").select("tree", "idx", F.lit(b"").alias("path"))
         if above is not None:
             own = above.select(F.col("tree").alias("_tree"), *extra)
@@ -129,7 +129,8 @@ def leaf_paths(levels: list[DataFrame], arity: int = 2, above: DataFrame | None
             up = paths.select(F.col("tree").alias("_tree"), F.col("idx").alias("_idx"), F.col("path").alias("_path"), *extra)
             lower = level.where("size > 1").join(up, F.col("tree").eqNullSafe(F.col("_tree")) & (F.expr(f"idx div {arity}") == F.col("_idx")))
             top = top.unionByName(lower.select("tree", "idx", F.concat("sib", "_path").alias("path"), *extra))
-        paths = top
+        # one level's joins to a plan
+        paths = written(top) if place else top
     return paths
 
 
@@ -168,18 +169,18 @@ def merkle_manifest(docs: DataFrame, id_col: str = "doc_id", tree_col: str = "la
     told = F.coalesce(tampered, F.lit(False)) if tampered is not None else F.lit(False)
     # the tampered leaf stays null where nothing is tampered with
     leaves = docs.select(F.col(id_col).alias("id"), F.col(tree_col).cast("string").alias("tree"), plain.alias("h"), F.when(told, changed).alias("bad"))
-    leaves = checkpointed(numbered(leaves, "tree", ["id", "h"]))
+    leaves = written(numbered(leaves, "tree", ["id", "h"]))
     levels = build_levels(leaves, arity)
 
     tops = numbered(subroots(levels).select(F.lit(0).alias("forest"), F.col("tree").alias("name"), "h"), "forest", ["name"])
-    tops = checkpointed(tops.select(F.col("forest").alias("tree"), "idx", "size", "h", "name"))
+    tops = written(tops.select(F.col("forest").alias("tree"), "idx", "size", "h", "name"))
     upper = build_levels(tops, arity)
     root = subroots(upper).select(F.col("h").alias("root"))  # one row
     above = (leaf_paths(upper, arity).withColumnsRenamed({"path": "top_path", "idx": "top_idx", "tree": "_t"})
              .join(tops.withColumnRenamed("size", "top_size"), F.col("top_idx") == F.col("idx"))
              .select(F.col("name").alias("tree"), F.col("h").alias("subroot"), "top_idx", "top_size", "top_path"))
     first = root.first()
-    above = checkpointed(above.withColumn("root", F.lit(bytes(first[0]) if first else b"")))
+    above = written(above.withColumn("root", F.lit(bytes(first[0]) if first else b"")))
 
     paths = leaf_paths(levels, arity, above).withColumnsRenamed({"tree": "_tree", "idx": "_idx"})
     rows = leaves.join(paths, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("idx") == F.col("_idx")))
