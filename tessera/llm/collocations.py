@@ -8,10 +8,11 @@ all shorter phrases are sums over windows that share a prefix, and one Spark
 words of a language at its top. No n-grams of shorter order are exploded.
 
 Windows are padded early where no frequent phrase can go on. A first pass adds up
-hashed counts of words and of adjacent pairs in tables of buckets; a bucket's sum
-is never below the count of anything in it, so a word or pair whose bucket stays
-under the least count is in no candidate and in no part of one. A window ends before
-such a pair, and starts with null (counted for its language only) at such a word.
+hashed counts of the starts of the same windows in a table of buckets for each
+length; a bucket's sum is never below the count of anything in it, so a phrase whose
+bucket stays under the least count is no candidate and in no part of one. A window
+ends where it would hold such a phrase, and a word of such a bucket starts an empty
+one (counted for its language only).
 Buckets grow with the text up to a fixed number, so what is broadcast is bounded.
 Counts of all phrases of at least the least count stay exact.
 """
@@ -26,17 +27,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, blobs_of, checkpointed, mix64, slices
+from tessera.llm.common import LOWER, blobs_of, checkpointed, mix64, slices, tidied
 
 #: Longest phrase.
 MOST_WORDS = 5
 #: Buckets of each table: a power of 2, about one for every so many bytes of text, within these.
 BYTES_A_BUCKET = 64
-LEAST_BUCKETS, MOST_BUCKETS = 1 << 16, 1 << 26
+LEAST_BUCKETS, MOST_BUCKETS = 1 << 16, 1 << 25
+#: Languages up to which their totals are broadcast.
+FEW_LANGUAGES = 10_000
 #: Buckets of a slice, the unit in which tables are summed.
 SLICE = 1 << 16
+#: Bytes of text of a task, beyond three tasks a core.
+TASK_BYTES = 256 << 20
 #: Distinct windows held by a task before they are given out.
-HELD_WINDOWS = 1 << 20
+HELD_WINDOWS = 1 << 18
 
 _STOPS, _GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _CLASS = np.zeros(256, np.uint8)  # 0: in a word, 1: between words, 2: between pieces
@@ -104,29 +109,32 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[
             yield langs[a:b], blobs[a:b], [salts[lang] for lang in langs[a:b]]
 
 
-def _pair_codes(codes: np.ndarray) -> np.ndarray:
-    """Code of each word with the next one; the last has none of use."""
-    out = codes * np.uint64(3)
-    out[:-1] += codes[1:] * np.uint64(_BASE)
-    return mix64(out)
+def _longer(codes: np.ndarray, words: np.ndarray, size: int) -> np.ndarray:
+    """Codes of phrases of ``size`` words from those of one word less, at each place that has room."""
+    n = max(len(words) - size + 1, 0)
+    return mix64(codes[:n] * np.uint64(3) + words[size - 1: size - 1 + n] * np.uint64(_BASE))
 
 
-def _frequent_buckets(rows: DataFrame, buckets: int, least: int) -> np.ndarray:
-    """Bits (packed) of two tables of ``buckets`` each, words first and then pairs:
-    whether a bucket's words or pairs occur ``least`` times together."""
+def _frequent_buckets(rows: DataFrame, buckets: int, least: int, words: int) -> np.ndarray:
+    """Bits (packed) of a table of ``buckets`` for each length, from one word on:
+    whether a bucket's phrases occur ``least`` times together."""
     mask = np.uint64(buckets - 1)
     most = min(least, 255)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a count that reaches ``most`` in one task says all there is to know
-        table = np.zeros(2 * buckets, np.uint8)
+        table = np.zeros(words * buckets, np.uint8)
         for _, blobs, salts in _texts(batches):
             _, _, _, codes, joins = words_of(blobs, salts)
-            found = np.concatenate((codes & mask, (_pair_codes(codes) & mask)[joins] + np.uint64(buckets)))
-            some, n = np.unique(found, return_counts=True)
-            some = some.astype(np.int64)
-            table[some] = np.minimum(table[some] + n, most)
-        for k in range(0, 2 * buckets, SLICE):
+            whole, grams = np.ones(len(codes), bool), codes
+            for k in range(1, words + 1):
+                if k > 1:
+                    grams = _longer(grams, codes, k)
+                    whole = whole[: len(grams)] & joins[k - 2: k - 2 + len(grams)]
+                some, n = np.unique(grams[whole] & mask, return_counts=True)
+                some = some.astype(np.int64) + (k - 1) * buckets
+                table[some] = np.minimum(table[some] + n, most)
+        for k in range(0, words * buckets, SLICE):
             part = table[k: k + SLICE]
             if part.any():
                 yield pa.RecordBatch.from_pydict({"slice": [k // SLICE], "counts": [part.tobytes()]})
@@ -142,9 +150,9 @@ def _frequent_buckets(rows: DataFrame, buckets: int, least: int) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"slice": [k], "bits": [np.packbits(total >= most).tobytes()]})
 
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    tables = rows.mapInArrow(count, "slice long, counts binary").repartition(parts, "slice").mapInArrow(add, "slice long, bits binary")
-    bits = np.zeros(2 * buckets // 8, np.uint8)
-    for row in tables.toLocalIterator():  # at most 2 * MOST_BUCKETS bits
+    tables = rows.mapInArrow(tidied(count), "slice long, counts binary").repartition(parts, "slice").mapInArrow(tidied(add), "slice long, bits binary")
+    bits = np.zeros(words * buckets // 8, np.uint8)
+    for row in tables.toLocalIterator():  # at most words * MOST_BUCKETS bits
         at = row.slice * SLICE // 8
         bits[at: at + len(row.bits)] = np.frombuffer(row.bits, np.uint8)
     return bits
@@ -159,8 +167,8 @@ def count_windows(rows: DataFrame, buckets: int, bits: np.ndarray, words: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
 
-        def marked(places: np.ndarray) -> np.ndarray:
-            places = places.astype(np.int64)
+        def marked(grams: np.ndarray, size: int) -> np.ndarray:
+            places = (grams & mask).astype(np.int64) + (size - 1) * buckets
             return (table[places >> 3] >> (7 - (places & 7)).astype(np.uint8) & 1).astype(bool)
 
         held: dict[tuple, int] = {}
@@ -180,16 +188,16 @@ def count_windows(rows: DataFrame, buckets: int, bits: np.ndarray, words: int =
             joined, starts, ends, codes, joins = words_of(blobs, salts)
             if not len(codes):
                 continue
-            often = marked(codes & mask)
-            goes_on = joins & marked((_pair_codes(codes) & mask) + np.uint64(buckets))
-            goes_on[:-1] &= often[:-1] & often[1:]
-            # length of the window at each word: 0 where the word itself is rare
+            # length of the window at each word: it grows while its phrase, and that from its second word, may be frequent
+            grams, often = codes, marked(codes, 1)
             length = often.astype(np.int64)
-            reach = goes_on.copy()
-            for k in range(1, words):
-                length += reach
-                reach[:-k] &= goes_on[k:]
-                reach[len(reach) - k:] = False
+            for k in range(2, words + 1):
+                grams = _longer(grams, codes, k)
+                n = len(grams)
+                at = np.flatnonzero(often[:n] & often[1: n + 1] & joins[k - 2: k - 2 + n])
+                often = np.zeros(n, bool)
+                often[at] = marked(grams[at], k)
+                length[:n] += often
             # equal words get equal numbers in this slice
             _, first, number = np.unique(codes, return_index=True, return_inverse=True)
             base = len(first) + 1
@@ -222,7 +230,7 @@ def count_windows(rows: DataFrame, buckets: int, bits: np.ndarray, words: int =
                 yield from close()
         yield from close()
 
-    return rows.mapInArrow(run, ", ".join(["lang string", *(f"{w} string" for w in names), "n long"]))
+    return rows.mapInArrow(tidied(run), ", ".join(["lang string", *(f"{w} string" for w in names), "n long"]))
 
 
 def phrase_counts(windows: DataFrame, least: int, words: int = MOST_WORDS) -> DataFrame:
@@ -253,6 +261,8 @@ def scored(counts: DataFrame, percent: int = 100) -> DataFrame:
     cuts = cuts.withColumns({"left": F.slice("p", F.lit(1), F.col("k")), "right": F.slice("p", F.col("k") + 1, F.col("size") - F.col("k"))})
     cuts = cuts.join(parts.withColumnRenamed("_f", "l"), (F.col("lang") == F.col("_lang")) & (F.col("left") == F.col("_p"))).drop("_lang", "_p")
     cuts = cuts.join(parts.withColumnRenamed("_f", "r"), (F.col("lang") == F.col("_lang")) & (F.col("right") == F.col("_p"))).drop("_lang", "_p")
+    if totals.count() <= FEW_LANGUAGES:
+        totals = F.broadcast(totals)
     cuts = cuts.join(totals, F.col("lang") == F.col("_lang")).drop("_lang")
     top, below = _exact("a") * _exact("n") * F.lit(1000).cast("decimal(4,0)"), _exact("l") * _exact("r")
     cuts = cuts.withColumn("score", F.call_function("div", top, below))
@@ -280,7 +290,9 @@ def collocations(docs: DataFrame, least: int = 100, percent: int = 100, top: int
     buckets = LEAST_BUCKETS
     while buckets < MOST_BUCKETS and buckets * BYTES_A_BUCKET < size:
         buckets *= 2
-    windows = count_windows(rows, buckets, _frequent_buckets(rows, buckets, least))
+    # fewer, larger tasks add up more windows before the shuffle
+    rows = rows.coalesce(max(3 * docs.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES + 1))
+    windows = count_windows(rows, buckets, _frequent_buckets(rows, buckets, least, MOST_WORDS))
     rated = scored(phrase_counts(windows, least), percent).withColumn("phrase", F.array_join("p", " "))
     place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
     ranked = rated.withColumn("rank", place).where(F.col("rank") <= top)
