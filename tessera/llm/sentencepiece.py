@@ -17,6 +17,7 @@ is used to read the model file only.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import stores, tidied
+
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Encoded words and tested pairs kept from batch to batch in a task's Python process.
-KEPT_WORDS = 500_000
-KEPT_PAIRS = 1_000_000
+#: Bytes of encoded words (about) and tested pairs kept from batch to batch in a task's Python process.
+KEPT_BYTES = 96 << 20
+KEPT_PAIRS = 300_000
 #: Characters of text handled at a time.
-CHARS = 4 << 20
+CHARS = 1 << 19
 
 
 class PieceModel:
@@ -49,8 +52,11 @@ class PieceModel:
         self.ids = {self.pieces[i]: i for i in ids if not special[i]}
         self.scores = [sp.get_score(i) for i in ids]
         self.lowest = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10.0
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.pairs: dict[int, bool] = {}
+        self.words: dict[str, bytes] = {}
+        self.room = KEPT_BYTES
+        #: bytes that an id stands for: marks as spaces, nothing for control pieces
+        self.bytes_of = [b"" if i in self.silent else bytes([self.byte_of[i]]) if i in self.byte_of else self.pieces[i].replace(MARK, " ").encode() for i in ids]
         #: pieces that can end a prefix: for BPE those that their own merges give back
         self.usable = self.ids if kind == "unigram" else {p: i for p, i in self.ids.items() if self.merged(p) == [p]}
         #: the longest usable piece with these last two characters
@@ -79,7 +85,7 @@ class PieceModel:
         a, b = self.pieces[left], self.pieces[right]
         if len(self.pairs) >= KEPT_PAIRS:
             self.pairs.clear()
-        known = self.pairs[left, right] = self.merged(a + b) == [a, b]
+        known = self.pairs[left << 32 | right] = self.merged(a + b) == [a, b]
         return known
 
     def step_unigram(self, word: str, end: int, scores: list[float], tail: list[int], back: list[int]) -> None:
@@ -103,7 +109,7 @@ class PieceModel:
             before = tail[start]
             fits = start == 0 or before < 0
             if not fits:
-                fits = self.pairs.get((before, piece))
+                fits = self.pairs.get(before << 32 | piece)
                 if fits is None:
                     fits = self.apart(before, piece)
             if fits:
@@ -113,8 +119,8 @@ class PieceModel:
         tail.append(-1)
         back.append(end - 1)
 
-    def encode_sorted(self, words: list[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of sorted distinct words, by one walk that shares the states of common prefixes."""
+    def encode_sorted(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of sorted distinct words, as 32-bit integers, by one walk that shares the states of common prefixes."""
         step = self.step_unigram if self.kind == "unigram" else self.step_bpe
         out, last, scores, tail, back = {}, "", [0.0], [-1], [0]
         for word in words:
@@ -136,7 +142,7 @@ class PieceModel:
                     ids.append(self.unknown)
                 at = start
             ids.reverse()
-            out[word] = tuple(ids)
+            out[word] = array("i", ids).tobytes()
             last = word
         return out
 
@@ -144,32 +150,27 @@ class PieceModel:
         cut = [marked_words(t) for t in texts]
         kept = self.words
         fresh = self.encode_sorted(sorted({w for words in cut for w in words if w not in kept}))
-        room = KEPT_WORDS - len(kept)
-        for word in fresh if room >= len(fresh) else list(fresh)[:max(room, 0)]:
-            kept[word] = fresh[word]
-        out = []
-        for words in cut:
-            ids: list[int] = []
-            for w in words:
-                ids += kept.get(w) or fresh[w]
-            out.append(np.array(ids, np.int32))
+        kept.update(fresh)
+        out = [np.frombuffer(b"".join(map(kept.__getitem__, words)), np.int32) for words in cut]
+        for word, ids in fresh.items():
+            if self.room > 0:
+                self.room -= 200 + len(word) + len(ids)
+            else:  # beyond the store's bytes
+                del kept[word]
         return out
 
+    def raw(self, ids: list[int]) -> bytes:
+        """UTF-8 bytes of the ids, without the space of the first mark."""
+        text = b"".join(map(self.bytes_of.__getitem__, ids))
+        return text[1:] if text.startswith(b" ") else text
+
     def decode(self, ids: list[int]) -> str:
         """Text of the ids: byte pieces joined as UTF-8, marks as spaces, the first mark dropped."""
-        out, held = [], bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                held.append(self.byte_of[i])
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held.clear()
-            if i not in self.silent:
-                out.append(self.pieces[i])
-        out.append(held.decode("utf-8", "replace"))
-        text = "".join(out).replace(MARK, " ")
-        return text[1:] if text.startswith(" ") else text
+        return self.raw(ids).decode("utf-8", "replace")
+
+    def round_trips(self, ids: np.ndarray, text: str) -> bool:
+        """Whether all ids decode to the text, its marks read as spaces."""
+        return self.raw(ids.tolist()) == text.replace(MARK, " ").encode()
 
 
 def marked_words(text: str) -> list[str]:
@@ -188,14 +189,12 @@ def marked_words(text: str) -> list[str]:
     return words
 
 
-_models: dict[tuple[str, str], PieceModel] = {}
-
-
 def model(path: str, kind: str) -> PieceModel:
-    """The process's model; its word store lasts from batch to batch."""
-    if (path, kind) not in _models:
-        _models[path, kind] = PieceModel(path, kind)
-    return _models[path, kind]
+    """The process's model; its word store lasts from task to task of this operator."""
+    models = stores.setdefault("sentencepiece", {})
+    if (path, kind) not in models:
+        models[path, kind] = PieceModel(path, kind)
+    return models[path, kind]
 
 
 def encode_documents(docs: DataFrame, path: str = MODEL_PATH, kind: str = "bpe", columns: list[str] | None = None) -> DataFrame:
@@ -223,7 +222,7 @@ def encode_documents(docs: DataFrame, path: str = MODEL_PATH, kind: str = "bpe",
                     end += 1
                 part = texts[start:end]
                 ids = pieces.encode([t or "" for t in part])
-                same = [t is None or pieces.decode(i.tolist()) == t.replace(MARK, " ") for t, i in zip(part, ids)]
+                same = [t is None or pieces.round_trips(i, t) for t, i in zip(part, ids)]
                 offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)),
                                                  mask=pa.array([t is None for t in part]))
@@ -234,7 +233,7 @@ def encode_documents(docs: DataFrame, path: str = MODEL_PATH, kind: str = "bpe",
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
     rows = docs.select(*dict.fromkeys([*keep, "text"])).withColumn("text", F.col("text").cast("string"))
-    return rows.mapInArrow(run, f"{fields}, n_tokens long, ids array<int>, round_trip boolean")
+    return rows.mapInArrow(tidied(run, "sentencepiece"), f"{fields}, n_tokens long, ids array<int>, round_trip boolean")
 
 
 def decode_documents(encoded: DataFrame, path: str = MODEL_PATH, kind: str = "bpe", ids_col: str = "ids") -> DataFrame:
@@ -247,4 +246,4 @@ def decode_documents(encoded: DataFrame, path: str = MODEL_PATH, kind: str = "bp
 
     rows = encoded.drop("text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{fields}, text string")
+    return rows.mapInArrow(tidied(run, "sentencepiece"), f"{fields}, text string")
