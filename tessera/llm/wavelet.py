@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import blobs_of
+from tessera.llm.common import stores, tidied
 from tessera.session import ensure_checkpoint_dir
 
 MAGIC = b"WVM1"
@@ -271,14 +271,13 @@ class WordEncoder:
         return [b"".join(found) for found, _ in cut]
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
+    """The process's encoder; its store lasts from task to task of this operator."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    encoders = stores.setdefault("wavelet", {})
+    if path not in encoders:
+        encoders[path] = WordEncoder(path)
+    return encoders[path]
 
 
 # ------------------------------------------------------------------ shards
@@ -349,7 +348,7 @@ def write_token_shards(docs: DataFrame, folder: str, path: str | None = None, id
         if ids:
             yield close()
 
-    made = rows.select("id", "text").mapInArrow(write, "part long, seq long, file string, docs long, tokens long")
+    made = rows.select("id", "text").mapInArrow(tidied(write, "wavelet"), "part long, seq long, file string, docs long, tokens long")
     made.write.parquet(f"{folder.rstrip('/')}/files")
     made = spark.read.schema(made.schema).parquet(f"{folder.rstrip('/')}/files")
     # files before it in its part, and all parts before: one row a part in the second window
@@ -380,7 +379,7 @@ def _over_files(spark: SparkSession, folder: str, fill, schema: str) -> DataFram
                 with system.open_input_file(f"{path}/{name}") as source:
                     yield fill(WaveletShard(source), start)
 
-    return manifest_of(spark, folder).select("file", "start").repartition(parts, "file").mapInArrow(run, schema)
+    return manifest_of(spark, folder).select("file", "start").repartition(parts, "file").mapInArrow(tidied(run), schema)
 
 
 def read_token_shards(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
