@@ -229,10 +229,14 @@ def enrichment_column(df: DataFrame, source: str, null_policy: str = "bad") -> C
     return SOURCES[source](Inputs(df, null_policy))
 
 
-def enrich(df: DataFrame, sources: list[str], null_policy: str = "bad") -> DataFrame:
-    """Add the given sources as columns in one projection."""
+def enrich(df: DataFrame, sources: list[str], null_policy: str = "bad", functions=None) -> DataFrame:
+    """Add the given sources as columns in one projection. ``functions`` (a
+    ``FunctionRegistry``) names user functions that are sources as well."""
     inp = Inputs(df, null_policy)
-    return df.withColumns({s: SOURCES[s](inp) for s in sources})
+    unknown = [s for s in sources if s not in SOURCES and (functions is None or s not in functions)]
+    if unknown:
+        raise ValueError(f"Unknown enrichment source '{unknown[0]}'")
+    return df.withColumns({s: SOURCES[s](inp) if s in SOURCES else functions[s].column(df) for s in sources})
 
 
 def enrich_domain(df: DataFrame, domain: str, null_policy: str = "bad") -> DataFrame:

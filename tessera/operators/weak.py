@@ -205,10 +205,16 @@ DOMAIN_LFS: dict[str, list[Callable[[Row], Column]]] = {
 }
 
 
-def apply_lfs(df: DataFrame, domain: str) -> DataFrame:
-    """Add one vote column per domain LF (named after the LF)."""
+def apply_lfs(df: DataFrame, domain: str, functions=None, names: list[str] | None = None) -> DataFrame:
+    """Add one vote column per domain LF (named after the LF), and one for each of the
+    user functions ``names`` of ``functions`` (a ``FunctionRegistry``), which must give
+    int votes."""
     r = Row(df)
-    return df.withColumns({lf.__name__: lf(r) for lf in DOMAIN_LFS[domain]})
+    own = {name: functions[name] for name in names or []}
+    for name, f in own.items():
+        if f.returns.simpleString() != "int":
+            raise TypeError(f"{name}: a vote is int")
+    return df.withColumns({lf.__name__: lf(r) for lf in DOMAIN_LFS[domain]} | {name: f.column(df) for name, f in own.items()})
 
 
 def majority_vote(votes: list[Column]) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import constants as K
 from tessera.operators import enrich as E
+from tessera.operators.registry import FunctionRegistry
 from tessera.plans import sqlkit as S
 from tessera.plans.catalog import register
 from tessera.plans.q_corrupt import DOMAIN_KEYS, corrupted_domain, corrupted_domain_ctes
@@ -180,6 +181,35 @@ for _s, _d in DOMAIN_OF.items():
             DOMAIN_KEYS[d], E.enrichment_column(X.domain_table(spark, sf, d), s).alias(s)))
 
 
+_USER_KINDS = ("column", "sql", "arrow")
+
+
+def _recurring(categories):
+    """The recurring-pattern rule on pandas series, built where the categories are known."""
+    def flag(category):
+        return category.isin(categories)
+    return flag
+
+
+def _user_functions(spark):
+    """One user function of each kind, all with the rule of a built-in source."""
+    functions = FunctionRegistry(spark, list(E.SOURCES))
+    names = K.RECURRING_CATEGORIES
+    functions.column("flag_column", "Category string", "boolean", lambda c: F.coalesce(c["Category"].isin(names), F.lit(False)))
+    functions.sql("flag_sql", "Category string", "boolean", f"coalesce(Category IN ({', '.join(S.q(n) for n in names)}), false)")
+    functions.arrow("flag_arrow", "Category string", "boolean", _recurring(names))
+    return functions
+
+
+@register("enr_user_functions", lambda: "SELECT *, " + ", ".join(f"recurring_pattern_flag AS flag_{k}" for k in _USER_KINDS)
+          + f" FROM ({_one_sql('recurring_pattern_flag')})")
+def enr_user_functions(spark, sf):
+    """A user function of each kind beside the built-in source that it equals."""
+    df = X.domain_table(spark, sf, "it_ops")
+    names = ["recurring_pattern_flag", *(f"flag_{k}" for k in _USER_KINDS)]
+    return E.enrich(df, names, functions=_user_functions(spark)).select(DOMAIN_KEYS["it_ops"], *names)
+
+
 def _all_sql(d: str, null_policy: str) -> str:
     ctes, last = corrupted_domain_ctes(d)
     inp = SqlInputs(K.DOMAIN_COLUMNS[d], set(), null_policy)
