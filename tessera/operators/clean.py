@@ -67,11 +67,16 @@ def clip_expr(v: Column, lo: float | None, hi: float | None) -> Column:
     return F.when(v < lo, F.lit(lo)).when(v > hi, F.lit(hi)).otherwise(v)
 
 
+#: Decimals of the bounds that outliers are clipped to.
+BOUND_DECIMALS = 9
+
+
 def iqr_bounds(q1: float | None, q3: float | None, k: float = 1.5) -> tuple[float | None, float | None]:
     if q1 is None or q3 is None:
         return None, None
     iqr = q3 - q1
-    return q1 - k * iqr, q3 + k * iqr
+    # rounded, so that the last place does not depend on the engine's order of operations
+    return round(q1 - k * iqr, BOUND_DECIMALS), round(q3 + k * iqr, BOUND_DECIMALS)
 
 
 # ------------------------------------------------------ tool-style operators

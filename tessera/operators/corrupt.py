@@ -14,6 +14,7 @@ import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from tessera.functions import constants as K
 from tessera.functions.exprs import dtype_of, hash52, hash_pick, hash_uniform, parse_double, swapcase_char
@@ -29,7 +30,7 @@ def _k(n: int, rate: float, share: float) -> int:
 
 
 def _thresholds(df: DataFrame, hashes: dict[str, Column], k: int, n: int) -> dict[str, float | None]:
-    return stats.kth_smallest(df, hashes, {c: min(k, n) - 1 for c in hashes}, n)
+    return stats.kth_of_uniform(df, hashes, {c: min(k, n) - 1 for c in hashes}, n)
 
 
 #: Decimals of the two outlier values.
@@ -51,12 +52,32 @@ def noise_invalid_tokens(df: DataFrame, key: str, columns: list[str], p: float,
         for c in columns})
 
 
+def duplicate_draws(spark, n: int, p: float, seed: int = 42) -> DataFrame:
+    """``_rank, _drawn``: which of ``n`` rows are drawn how often when exactly
+    ``max(1, int(n * p))`` rows are drawn with replacement. Draw j is a 52-bit
+    hash of j scaled to a rank, so tables of any size are reached evenly."""
+    draws = max(1, int(n * p)) if n else 0
+    share = hash52(F.col("id"), seed, "dup") / F.lit(2.0 ** 52)
+    rank = F.least(F.floor(share * F.lit(float(n))).cast("long"), F.lit(n - 1).cast("long"))
+    return spark.range(draws).groupBy(rank.alias("_rank")).agg(F.count(F.lit(1)).alias("_drawn"))
+
+
 def noise_duplicates(df: DataFrame, key: str, p: float, seed: int = 42) -> DataFrame:
-    """Append a copy of each row whose seeded draw is below ``p`` (one scan,
-    ``explode`` of 1 or 2 copies); copies carry ``_copy`` = 1."""
-    u = hash_uniform(F.col(key), seed, "dup")
-    return df.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.when(u < p, 1).otherwise(0).cast("long")))
-                     .alias("_copy"))
+    """Append exactly ``max(1, int(n * p))`` copies, drawn with replacement from
+    the ``n`` rows; ``_copy`` is 0 for a row itself and 1, 2, ... for its copies.
+
+    A draw addresses a row by its rank in the order of ``key`` (rows of equal key
+    by their other columns, those in the order of their names), so the result doesn't depend on the partitioning.
+    Rows are range partitioned and written once, the sizes of the partitions are
+    the directory that turns a place in a partition into a rank, and the draws
+    (``p`` of the rows at most, already counted per rank) meet their rows by an
+    equijoin on the rank. An empty table stays empty."""
+    from tessera.operators.trajectory import ordered_prefix
+    tie = sorted(f.name for f in df.schema.fields if f.name != key and not isinstance(f.dataType, (MapType, VariantType)))
+    ranked = ordered_prefix(df, [], [key, *tie], {})
+    drawn = duplicate_draws(df.sparkSession, ranked.count(), p, seed)
+    copies = F.sequence(F.lit(0).cast("long"), F.coalesce("_drawn", F.lit(0)).cast("long"))
+    return ranked.join(drawn, ranked.idx == drawn["_rank"], "left").select(*df.columns, F.explode(copies).alias("_copy"))
 
 
 def noise_outliers(df: DataFrame, key: str, columns: list[str], p: float, seed: int = 42) -> DataFrame:
@@ -174,7 +195,7 @@ def corrupt_type_mismatch(df: DataFrame, key: str, numeric: list[str], rate: flo
     cols = [c for c in numeric if c in df.columns]
     n = df.count() if n is None else n
     hashes = _type_hashes(key, cols, seed)
-    th = stats.kth_smallest(df, hashes, {h: min(_k(n, rate, 0.3), n) - 1 for h in hashes}, n)
+    th = stats.kth_of_uniform(df, hashes, {h: min(_k(n, rate, 0.3), n) - 1 for h in hashes}, n)
     return _apply_type(df, key, cols, th, seed)
 
 
@@ -204,7 +225,7 @@ def corrupt_typos(df: DataFrame, key: str, categorical: list[str], rate: float =
     cols = [c for c in categorical if c in df.columns]
     n = df.count() if n is None else n
     hashes = _typo_hashes(key, cols, seed)
-    th = stats.kth_smallest(df, hashes, {h: min(_k(n, rate, 0.2), n) - 1 for h in hashes}, n)
+    th = stats.kth_of_uniform(df, hashes, {h: min(_k(n, rate, 0.2), n) - 1 for h in hashes}, n)
     return _apply_typos(df, key, cols, th, seed)
 
 
@@ -220,7 +241,7 @@ def _apply_whitespace(rows: DataFrame, key: str, categorical: list[str], rate: f
     cols = [c for c in categorical[:2] if c in rows.columns]
     total = n + _k(n, rate, 0.1)
     hashes = {c: hash52(rk, seed, c, "ws") for c in cols}
-    ths = stats.kth_smallest(rows, hashes, {c: min(_k(n, rate, 0.2), total) - 1 for c in cols}, total)
+    ths = stats.kth_of_uniform(rows, hashes, {c: min(_k(n, rate, 0.2), total) - 1 for c in cols}, total)
     out = {c: F.when(hashes[c] <= ths[c], F.concat(F.lit("  "), F.col(c).cast("string"), F.lit("  ")))
            .otherwise(F.col(c)) for c in cols}
     return rows.withColumns(out)
@@ -232,7 +253,7 @@ def corrupt_duplicates_whitespace(df: DataFrame, key: str, categorical: list[str
     exactly max(1, int(n*rate*0.2)) cells of each of the first two
     categorical columns with two spaces on each side."""
     n = df.count() if n is None else n
-    th = stats.kth_smallest(df, {"dup": hash52(F.col(key), seed, "dup")}, {"dup": _k(n, rate, 0.1) - 1}, n)["dup"]
+    th = stats.kth_of_uniform(df, {"dup": hash52(F.col(key), seed, "dup")}, {"dup": _k(n, rate, 0.1) - 1}, n)["dup"]
     return _apply_whitespace(_dup_rows(df, key, th, seed), key, categorical, rate, seed, n)
 
 
@@ -242,8 +263,8 @@ def corrupt_domain(df: DataFrame, key: str, numeric: list[str], categorical: lis
 
     Every "exactly k" choice of the first three steps ranks rows by a hash of
     the original key, so all their thresholds come from one batched
-    ``kth_smallest`` over the clean table; only the whitespace step (which
-    ranks the duplicated rows) needs a second batch. Jobs: count + 2 + 2."""
+    ``kth_of_uniform`` over the clean table; only the whitespace step (which
+    ranks the duplicated rows) needs a second batch. Jobs: count + 1 + 1."""
     n = df.count()
     num = [c for c in numeric if c in df.columns]
     cat = [c for c in categorical if c in df.columns]
@@ -251,7 +272,7 @@ def corrupt_domain(df: DataFrame, key: str, numeric: list[str], categorical: lis
     ranks = {**{h: min(_k(n, rate, 0.3), n) - 1 for h in _type_hashes(key, num, seed)},
              **{h: min(_k(n, rate, 0.2), n) - 1 for h in _typo_hashes(key, cat, seed)},
              "dup": min(_k(n, rate, 0.1), n) - 1}
-    th = stats.kth_smallest(df, hashes, ranks, n)
+    th = stats.kth_of_uniform(df, hashes, ranks, n)
     out = corrupt_nulls(df, key, numeric, rate, seed)
     out = _apply_type(out, key, num, th, seed)
     out = _apply_typos(out, key, cat, th, seed)

@@ -175,6 +175,47 @@ def kth_smallest(df: DataFrame, cols: dict[str, Column], ranks: dict[str, int],
     return {name: values.get((name, ranks[name])) for name in cols}
 
 
+#: Standard deviations that the bracket of a uniform order statistic reaches to either side.
+UNIFORM_SIGMAS = 8.0
+
+
+def kth_of_uniform(df: DataFrame, cols: dict[str, Column], ranks: dict[str, int], n: int, top: float = 2.0 ** 52,
+                   max_local: int = 200_000) -> dict[str, float | None]:
+    """``kth_smallest`` for columns of uniform draws in [0, ``top``) without nulls, such as seeded hashes.
+
+    Where an order statistic of ``n`` uniform draws lies is known beforehand:
+    rank k is near ``top * k / n`` with a deviation of ``sqrt(p (1 - p) / n)``.
+    So no sketch is needed: one aggregation over one scan counts, for all
+    columns, the rows below a bracket of ``UNIFORM_SIGMAS`` deviations and
+    gathers the draws inside it (about ``16 sqrt(n p (1 - p))`` a column).
+    Brackets that hold more than ``max_local`` rows together, and columns whose
+    draws turn out not to be uniform (a key that repeats, say), take the checked
+    passes of ``kth_smallest``. The answer is the exact value in every case."""
+    if not cols or n <= 0:
+        return {c: None for c in cols}
+    brackets, expected = {}, 0.0
+    for name in cols:
+        p = (ranks[name] + 0.5) / n
+        reach = UNIFORM_SIGMAS * math.sqrt(max(p * (1 - p), 1 / n) / n) + 1 / n
+        brackets[name] = (max(0.0, p - reach) * top, min(1.0, p + reach) * top)
+        expected += 2 * reach * n
+    if expected > max_local:
+        return kth_smallest(df, cols, ranks, n, max_local)
+    drawn = df.select(*[c.cast("double").alias(f"v{i}") for i, c in enumerate(cols.values())])
+    aggs = []
+    for i, (lo, hi) in enumerate(brackets.values()):
+        v = F.col(f"v{i}")
+        aggs += [F.count_if(v < lo).alias(f"below{i}"), F.collect_list(F.when(v.between(lo, hi), v)).alias(f"in{i}")]
+    row = drawn.agg(*aggs).first()
+    found = {}
+    for i, name in enumerate(cols):
+        at = ranks[name] - row[f"below{i}"]
+        if 0 <= at < len(row[f"in{i}"]):
+            found[name] = sorted(row[f"in{i}"])[at]
+    rest = {name: c for name, c in cols.items() if name not in found}
+    return {**found, **kth_smallest(df, rest, ranks, n, max_local)}
+
+
 def _bracket_filter(targets: dict) -> Column:
     conds = [(F.col("name") == name) & F.col("v").between(lo, hi) for (name, _), (lo, hi, _) in targets.items()]
     cond = conds[0]

@@ -99,7 +99,7 @@ def clean_clip_outliers_iqr(spark, sf):
 
 @register("clean_clip_report", lambda: _w(
     f"SELECT {S.sround('q1 - 1.5 * (q3 - q1)', 4)} AS lower, {S.sround('q3 + 1.5 * (q3 - q1)', 4)} AS upper, "
-    f"CAST(count_if({_PRICE} < q1 - 1.5 * (q3 - q1) OR {_PRICE} > q3 + 1.5 * (q3 - q1)) AS BIGINT) AS n_clipped "
+    f"CAST(count_if({_PRICE} < {S.iqr_bounds('q1', 'q3')[0]} OR {_PRICE} > {S.iqr_bounds('q1', 'q3')[1]}) AS BIGINT) AS n_clipped "
     f"FROM dirty_orders, {_QS} GROUP BY q1, q3"))
 def clean_clip_report(spark, sf):
     return C.clip_report(_orders(spark, sf), "price")

@@ -81,8 +81,7 @@ def noise_invalid_tokens(spark, sf):
 
 
 @register("noise_duplicates", lambda: (
-    f"WITH v AS ({_ECV}) SELECT *, unnest(range(0, CASE WHEN {uni(_ECK, SEED, 'dup')} < 0.03 THEN 2 ELSE 1 END)) "
-    f"AS _copy FROM v"))
+    f"WITH v AS ({_ECV}) " + S.with_duplicates("v", "session_id", ["_seq", *ST.task_columns("ecommerce_mobile")], 0.03, SEED)))
 def noise_duplicates(spark, sf):
     return CR.noise_duplicates(_ec(spark, sf), "session_id", 0.03)
 

@@ -70,8 +70,7 @@ def noise_ctes(task: str, prefix: str, profile: str = "medium", seed: int = 42)
               f"ELSE CAST({c} AS VARCHAR) END" for c in cat}
     ctes.append((f"{prefix}2", sel(inv, f"{prefix}1")))
     ctes.append((f"{prefix}3", f"SELECT *, concat_ws('#', CAST({key} AS VARCHAR), CAST(_copy AS VARCHAR)) AS _rk FROM "
-                               f"(SELECT *, unnest(range(0, CASE WHEN {uni(k, seed, 'dup')} < {pd_} THEN 2 ELSE 1 END)) "
-                               f"AS _copy FROM {prefix}2)"))
+                               f"({S.with_duplicates(f'{prefix}2', key, ['_seq', *cols], pd_, seed)})"))
     rk = Sql("_rk")
     types = _initial_types(task)
     qsel = ", ".join(f"quantile_cont({S.parse_double(c, types[c] == 'num')}, 0.25) AS q1_{c}, "

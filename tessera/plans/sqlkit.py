@@ -223,8 +223,12 @@ def to_datetime(x: str) -> str:
     return "coalesce(" + ", ".join(f"try_strptime(CAST({x} AS VARCHAR), {q(f)})" for f in DUCK_DATETIME_FORMATS) + ")"
 
 
+def iqr_bounds(q1: str, q3: str) -> tuple[str, str]:
+    return sround(f"{q1} - 1.5 * ({q3} - {q1})", 9), sround(f"{q3} + 1.5 * ({q3} - {q1})", 9)
+
+
 def clip(x: str, q1: str, q3: str) -> str:
-    lo, hi = f"({q1} - 1.5 * ({q3} - {q1}))", f"({q3} + 1.5 * ({q3} - {q1}))"
+    lo, hi = iqr_bounds(q1, q3)
     return f"(CASE WHEN {x} < {lo} THEN {lo} WHEN {x} > {hi} THEN {hi} ELSE {x} END)"
 
 
@@ -337,3 +341,15 @@ def metric_series_sql() -> str:
 
 FIXTURE_SQL["steps"] = steps_sql
 FIXTURE_SQL["metric_series"] = metric_series_sql
+
+
+def with_duplicates(rel: str, key: str, columns: list[str], p: float, seed: int) -> str:
+    """``rel`` with exactly max(1, int(n p)) copies drawn with replacement
+    (``_copy`` > 0); ``columns`` are its columns, in any order."""
+    order = ", ".join(f"{c} NULLS FIRST" for c in [key, *sorted(set(columns) - {key})])
+    rank = f"least(CAST(floor({h52(Sql('j'), seed, 'dup')} / 4503599627370496.0::DOUBLE * c.n::DOUBLE) AS BIGINT), c.n - 1)"
+    return (f"SELECT t.* EXCLUDE (_at), unnest(range(0, 1 + coalesce(d.drawn, 0))) AS _copy FROM "
+            f"(SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS _at FROM {rel}) t LEFT JOIN "
+            f"(SELECT {rank} AS at_rank, count(*) AS drawn FROM (SELECT count(*) AS n, CASE WHEN count(*) = 0 THEN 0 "
+            f"ELSE greatest(1, CAST(floor(count(*) * {p}::DOUBLE) AS BIGINT)) END AS k FROM {rel}) c, "
+            f"LATERAL (SELECT unnest(range(0, c.k)) AS j) s GROUP BY ALL) d ON d.at_rank = t._at")
