@@ -7,6 +7,9 @@ number of columns.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import json
 
 from pyspark.sql import Column, DataFrame
@@ -112,6 +115,28 @@ def profile_top_values(df: DataFrame, columns: list[str] | None = None, k: int =
     return counted.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def profile_columns(df: DataFrame, columns: list[str] | None = None, k: int = 5) -> DataFrame:
+    """What a reader of the table is told of each column: ``column_name, item,
+    value, number``. Numeric columns have one row for each of count, mean, std,
+    min, 25%, 50%, 75% and max (in ``number``), the others their ``k`` most
+    frequent values (items "top 1", ...; ``number`` counts their rows; ties:
+    value ascending)."""
+    cols = columns or data_columns(df)
+    numeric = [c for c in cols if is_numeric_type(dtype_of(df, c))]
+    parts = []
+    if numeric:
+        items = {"count": "count", "mean": "mean", "std": "std", "min": "min", "25%": "q25", "50%": "q50",
+                 "75%": "q75", "max": "max"}
+        parts.append(profile_numeric_summary(df, numeric).select("column_name", F.inline(F.array(*[
+            F.struct(F.lit(i).alias("item"), F.lit(None).cast("string").alias("value"),
+                     F.round(F.col(c).cast("double"), 6).alias("number")) for i, c in items.items()]))))
+    if text := [c for c in cols if c not in numeric]:
+        parts.append(profile_top_values(df, text, k).select(
+            "column_name", F.concat(F.lit("top "), F.col("rank").cast("string")).alias("item"), "value",
+            F.col("n").cast("double").alias("number")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 # ----------------------------------------------------------------- DQ score
 def dq_scores(df: DataFrame, columns: list[str], numeric_columns: list[str]) -> DataFrame:
     """completeness, consistency, uniqueness and their 0.40/0.35/0.25 blend,
@@ -184,32 +209,77 @@ def type_match(df: DataFrame, expected: dict[str, str]) -> float:
     return matched / max(len(expected), 1)
 
 
+def _gates(df: DataFrame, raw: DataFrame, spec: dict, min_retention: float, stability: dict | None) -> list[tuple]:
+    """(gate, passed, detail) as columns over ``_counted``."""
+    consistent = data_columns(df) == data_columns(raw) and spec["target"] in df.columns
+    tm = type_match(df, spec["expected_types"])
+    retention = F.col("n_rows") / F.greatest(F.col("raw_rows"), F.lit(1))
+    gates = [
+        ("test_missing_values", F.col("n_missing") == 0, F.col("n_missing")),
+        ("test_duplicated_rows", F.col("n_duplicates") == 0, F.col("n_duplicates")),
+        ("test_data_consistency", F.lit(consistent), F.lit(1.0 if consistent else 0.0)),
+        ("test_data_retention", retention >= min_retention, F.round(retention, 4)),
+        ("test_dtype_alignment", F.lit(tm == 1.0), F.lit(round(tm, 4))),
+    ]
+    if stability is not None:
+        gates.append(("test_stability_probe", F.lit(stability["score_std"] <= 0.15), F.lit(stability["score_std"])))
+    return gates
+
+
+def _counted(df: DataFrame, raw: DataFrame, spec: dict) -> DataFrame:
+    """``table_stats`` of ``df`` beside the number of raw rows."""
+    return table_stats(df, spec["target"]).withColumn("raw_rows", raw.agg(F.count(F.lit(1))).scalar())
+
+
+def _gate_rows(gates: list[tuple]) -> Column:
+    return F.explode(F.array(*[
+        F.struct(F.lit(g).alias("gate"), passed.alias("passed"), value.cast("double").alias("detail_value"))
+        for g, passed, value in gates])).alias("g")
+
+
+def _all_passed(gates: list[tuple]) -> Column:
+    return reduce(and_, [passed for _, passed, _ in gates])
+
+
 def gate_report(df: DataFrame, raw: DataFrame, spec: dict, min_retention: float = K.MIN_RETENTION,
                 stability: dict | None = None) -> DataFrame:
-    """One row per gate: (gate, passed, detail_value). The counts come from
-    one aggregation of each table; schema gates are plan-time checks.
+    """One row per gate: (gate, passed, detail_value). Counts come from one
+    aggregation of each table, and nothing runs before the result is read;
+    schema gates are plan-time checks.
 
     detail_value: missing cells outside the target, duplicate rows, 1/0 for
-    same columns + target kept, retention ratio, share of expected types."""
-    target = spec["target"]
-    cols = data_columns(df)
-    raw_cols = data_columns(raw)
-    st = table_stats(df, target).first()
-    raw_n = raw.count()
-    n = st["n_rows"]
-    retention = n / max(raw_n, 1)
-    consistent = cols == raw_cols and target in cols
-    tm = type_match(df, spec["expected_types"])
-    rows = [
-        ("test_missing_values", st["n_missing"] == 0, float(st["n_missing"])),
-        ("test_duplicated_rows", st["n_duplicates"] == 0, float(st["n_duplicates"])),
-        ("test_data_consistency", consistent, 1.0 if consistent else 0.0),
-        ("test_data_retention", retention >= min_retention, round(retention, 4)),
-        ("test_dtype_alignment", tm == 1.0, round(tm, 4)),
-    ]
-    if stability is not None:
-        rows.append(("test_stability_probe", stability["score_std"] <= 0.15, float(stability["score_std"])))
-    return df.sparkSession.createDataFrame(rows, "gate string, passed boolean, detail_value double")
+    same columns + target kept, retention ratio, share of expected types, and,
+    if the probe's result is given, its spread."""
+    gates = _gates(df, raw, spec, min_retention, stability)
+    return _counted(df, raw, spec).select(_gate_rows(gates)).select("g.*")
+
+
+def full_gate_report(df: DataFrame, raw: DataFrame, spec: dict, stability: dict,
+                     min_retention: float = K.MIN_RETENTION) -> DataFrame:
+    """All six gates, with the overall result, the shape of the table and its
+    retention on every row: ``gate, passed, detail_value, all_passed, n_rows,
+    n_columns, retention_ratio``. ``stability`` is what ``stability_probe`` returns."""
+    gates = _gates(df, raw, spec, min_retention, stability)
+    return _counted(df, raw, spec).select(
+        _gate_rows(gates), _all_passed(gates).alias("all_passed"), "n_rows",
+        F.lit(len(data_columns(df))).cast("long").alias("n_columns"),
+        F.round(F.col("n_rows") / F.greatest(F.col("raw_rows"), F.lit(1)), 4).alias("retention_ratio")).select(
+        "g.*", "all_passed", "n_rows", "n_columns", "retention_ratio")
+
+
+def submission_reward(df: DataFrame, raw: DataFrame, spec: dict, coverage: float,
+                      stability: dict | None = None, min_retention: float = K.MIN_RETENTION) -> DataFrame:
+    """The terminal reward of handing in ``df``: one row ``quality_score,
+    gates_passed, coverage, final_reward``. The quality score is that of the
+    table itself, ``coverage`` the share of the required operations that ran."""
+    from tessera.operators.trajectory import final_reward
+    gates = _gates(df, raw, spec, min_retention, stability)
+    score = F.round(quality_score_expr(F.col("n_rows"), F.col("raw_rows"), type_match(df, spec["expected_types"]),
+                                       F.col("n_missing"), F.col("n_duplicates")), 4)
+    row = _counted(df, raw, spec).select(score.alias("quality_score"), _all_passed(gates).alias("gates_passed"),
+                                         F.lit(coverage).alias("coverage"))
+    return row.withColumn("final_reward", F.round(final_reward(
+        F.col("quality_score"), F.col("gates_passed"), F.col("coverage")), 6))
 
 
 def snapshot(df: DataFrame, spec: dict) -> DataFrame:

@@ -101,6 +101,25 @@ def episode_metrics(steps: DataFrame, episode: str = "episode_id", order: tuple
         F.coalesce(passed, F.lit(False)).alias("success"))
 
 
+def zero_failed(episodes: DataFrame) -> DataFrame:
+    """Episodes with an ``error`` count as failed ones without steps: zero
+    return, steps and invalid actions, no gate, no retention."""
+    ok = F.col("error").isNull()
+    zero = {"total_return": F.lit(0.0), "steps": F.lit(0).cast("long"), "invalid_actions": F.lit(0).cast("long"),
+            "success": F.lit(False), "quality_gate_passed": F.lit(False), "retention_ratio": F.lit(None).cast("double")}
+    return episodes.withColumns({c: F.when(ok, F.col(c)).otherwise(z) for c, z in zero.items()})
+
+
+def step_reward(before: Column, after: Column) -> Column:
+    """Gain of the quality score less the margin, bounded from below."""
+    return F.greatest(F.lit(K.STEP_MAX_NEGATIVE), after - before - K.STEP_IMPROVEMENT_MARGIN)
+
+
+def final_reward(quality: Column, passed: Column, coverage: Column) -> Column:
+    """Table quality, the gates and the share of the required operations."""
+    return 0.45 * quality + 0.30 * F.when(passed, 1.0).otherwise(0.0) + 0.25 * coverage
+
+
 def aggregate_metrics(episodes: DataFrame, group: list[str] | None = None) -> DataFrame:
     """episodes, success rate and mean return / steps / invalid actions;
     zeros for an empty input."""

@@ -483,3 +483,70 @@ def quality_delta_per_op(spark, sf):
             for i, (op, col, *_) in enumerate(ORDERS_POLICY)]
     return spark.createDataFrame(rows, "step int, operation string, column string, quality_before double, "
                                        "quality_after double, reward double")
+
+
+# ------------------------------------------- rewards from the quality score
+#: Submissions of the orders table: how many operations of the policy ran.
+SUBMISSIONS = {"raw": 0, "without_dedup": len(ORDERS_POLICY) - 1, "whole_policy": len(ORDERS_POLICY)}
+
+
+def _submission_sql() -> str:
+    kinds = {c: ("num" if t == "bigint" else "str") for c, t in DO_TYPES0.items()}
+    pctes, _ = ST.policy_ctes("dirty_orders", DO_COLS, kinds, ORDERS_POLICY)
+    rels = ["dirty_orders"] + [n for n, _ in pctes]
+    tms = [_tm(DO_TYPES0)] + [_tm(t) for t in _step_types(ORDERS_POLICY, DO_TYPES0)]
+    ctes, selects = [], []
+    for name, k in SUBMISSIONS.items():
+        passed = (f"n_missing = 0 AND n_duplicates = 0 AND n_rows / greatest(raw_n, 1) >= {K.MIN_RETENTION} "
+                  f"AND {'TRUE' if tms[k] == 1.0 else 'FALSE'}")
+        ctes.append((f"sub_{name}", f"SELECT {R(_qscore_sql(tms[k]), 4)} AS quality_score, {passed} AS gates_passed, "
+                     f"{k / len(ORDERS_POLICY)!r}::DOUBLE AS coverage FROM ({_stats_sql(rels[k], 'status')}), "
+                     f"(SELECT count(*) AS raw_n FROM dirty_orders)"))
+        selects.append(f"SELECT '{name}' AS submission, *, " + R(
+            "0.45::DOUBLE * quality_score + 0.30::DOUBLE * (CASE WHEN gates_passed THEN 1.0 ELSE 0.0 END)::DOUBLE "
+            "+ 0.25::DOUBLE * coverage", 6) + f" AS final_reward FROM sub_{name}")
+    return S.with_fixtures(["dirty_orders"], " UNION ALL ".join(selects), pctes + ctes)
+
+
+@register("rew_final_quality", _submission_sql)
+def rew_final_quality(spark, sf):
+    """Terminal reward of the orders table handed in raw, with all but the
+    last operation, and after the whole policy: from its own quality score,
+    gates and share of the policy's operations."""
+    raw = _orders(spark, sf)
+    out = None
+    for name, k in SUBMISSIONS.items():
+        table = compile_policy(raw, ORDERS_POLICY[:k]) if k else raw
+        row = Q.submission_reward(table, raw, DO, k / len(ORDERS_POLICY)).select(F.lit(name).alias("submission"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@register("gate_report_full")
+def gate_report_full(spark, sf):
+    """All six gates of the cleaned ecommerce table with the overall result,
+    the shape and the retention (the probe is a Spark ML forest: no SQL)."""
+    raw, cleaned = TK.dirty_task(spark, sf, "ecommerce_mobile"), _clean_ecommerce(spark, sf)
+    spec = TK.TASK_SPECS["ecommerce_mobile"]
+    probe = Q.stability_probe(cleaned, "converted", "classification", "session_id")
+    return Q.full_gate_report(cleaned, raw, spec, probe)
+
+
+def _profile_columns_sql() -> str:
+    nums = K.DOMAIN_NUMERIC["sales"]
+    stats_ = {"count": "count({c})", "mean": "avg({c})", "std": "stddev_samp({c})", "min": "min({c})",
+              "25%": "quantile_cont({c}, 0.25)", "50%": "quantile_cont({c}, 0.5)", "75%": "quantile_cont({c}, 0.75)",
+              "max": "max({c})"}
+    parts = [f"SELECT '{c}' AS column_name, '{i}' AS item, NULL::VARCHAR AS value, "
+             f"{R('(' + e.format(c=c) + ')::DOUBLE', 6)} AS number FROM dom_sales" for c in nums for i, e in stats_.items()]
+    text = " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM dom_sales" for c in SALES_CAT)
+    parts.append("SELECT column_name, 'top ' || rank AS item, value, n::DOUBLE AS number FROM (SELECT column_name, value, n, "
+                 "row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value ASC) AS rank FROM (SELECT column_name, "
+                 f"value, count(*) AS n FROM ({text}) WHERE value IS NOT NULL GROUP BY ALL)) WHERE rank <= 5")
+    return S.with_fixtures(["dom_sales"], " UNION ALL ".join(parts))
+
+
+@register("profile_columns", _profile_columns_sql)
+def profile_columns(spark, sf):
+    """Describe of the numeric and top values of the other sales columns."""
+    return Q.profile_columns(X.dom_sales(spark, sf))

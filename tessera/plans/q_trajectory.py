@@ -124,17 +124,21 @@ def traj_agent_compare(spark, sf):
 
 
 @register("traj_error_rows", lambda: _we(
-    "SELECT e.episode_id, e.task_id, e.agent, 0.0::DOUBLE AS total_return, CAST(0 AS BIGINT) AS steps, FALSE AS success, "
-    "f.error FROM episodes e JOIN (SELECT episode_id, arg_min_null(error, (ts, event_id)) AS error FROM steps "
-    "GROUP BY episode_id) f USING (episode_id) WHERE f.error IS NOT NULL"))
+    "SELECT e.episode_id, e.task_id, e.agent, CASE WHEN f.error IS NULL THEN e.total_return ELSE 0.0 END AS total_return, "
+    "CASE WHEN f.error IS NULL THEN e.steps ELSE 0 END AS steps, "
+    "CASE WHEN f.error IS NULL THEN e.invalid_actions ELSE 0 END AS invalid_actions, f.error IS NULL AND e.success AS success, "
+    "CASE WHEN f.error IS NULL THEN e.quality_gate_passed ELSE FALSE END AS quality_gate_passed, "
+    "CASE WHEN f.error IS NULL THEN e.retention_ratio END AS retention_ratio, f.error "
+    "FROM episodes e LEFT JOIN (SELECT episode_id, arg_min_null(error, (ts, event_id)) AS error FROM steps "
+    "GROUP BY episode_id) f USING (episode_id)"))
 def traj_error_rows(spark, sf):
-    """Episodes whose first step failed become zero rows carrying the error."""
-    df = _steps(spark, sf)
-    first = df.groupBy("episode_id").agg(F.min_by("error", F.struct(*ORDER)).alias("error"))
-    eps = _episodes(spark, sf).select("episode_id", "task_id", "agent")
-    return eps.join(first.where(F.col("error").isNotNull()), "episode_id").select(
-        "episode_id", "task_id", "agent", F.lit(0.0).alias("total_return"), F.lit(0).cast("long").alias("steps"),
-        F.lit(False).alias("success"), "error")
+    """The log of all episodes: those whose first step failed are zero rows
+    carrying the error, the others keep their metrics (error null)."""
+    eps = T.episode_metrics(_steps(spark, sf), extra=[
+        F.any_value("task_id").alias("task_id"), F.any_value("agent").alias("agent"),
+        F.min_by("error", F.struct(*ORDER)).alias("error")])
+    return T.zero_failed(eps).select("episode_id", "task_id", "agent", "total_return", "steps", "invalid_actions",
+                                     "success", "quality_gate_passed", "retention_ratio", "error")
 
 
 @register("traj_progress_log", lambda: _we(
@@ -297,7 +301,7 @@ def rew_step(spark, sf):
     needed, however long it is."""
     delta = F.coalesce("reward", F.lit(0.0))
     return _steps(spark, sf).select("event_id", F.round(
-        F.greatest(F.lit(K.STEP_MAX_NEGATIVE), delta - K.STEP_IMPROVEMENT_MARGIN), 6).alias("reward"))
+        T.step_reward(F.lit(0.0), delta), 6).alias("reward"))
 
 
 @register("rew_final", lambda: _we(
@@ -313,9 +317,8 @@ def rew_final(spark, sf):
     eps = _episodes(spark, sf)
     cov = required_op_coverage(spark, sf)
     j = eps.join(cov, "episode_id")
-    return j.select("episode_id", F.round(0.45 * F.coalesce("retention_ratio", F.lit(0.0))
-                                          + 0.30 * F.when(F.col("success"), 1.0).otherwise(0.0)
-                                          + 0.25 * F.col("coverage"), 6).alias("final_reward"))
+    return j.select("episode_id", F.round(T.final_reward(
+        F.coalesce("retention_ratio", F.lit(0.0)), F.col("success"), F.col("coverage")), 6).alias("final_reward"))
 
 
 def _dq_pair_sql() -> str:
