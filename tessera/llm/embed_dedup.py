@@ -29,6 +29,9 @@ from tessera.llm.common import checkpointed, components
 SAMPLE = 8192
 #: Vectors that a cell of one label holds on average; sets the codebook size.
 PER_CELL = 128
+#: Vector lengths, the most frequent ones, that get a grid of their own; vectors
+#: of any other length are all in one cell of their label and compared completely.
+GRIDS = 64
 #: Home vectors of one task; larger cells are cut into parts.
 PART = 2048
 
@@ -122,7 +125,7 @@ def _visits(grids: dict[int, Grid]):
                 for a in range(0, len(part), 512):
                     some = part.slice(a, 512)
                     x = unit(matrix(some.column("embedding"), dim))
-                    homes, cells = grids[dim].visited(x)
+                    homes, cells = grids[dim].visited(x) if dim in grids else ([0] * len(x), [[0]] * len(x))
                     at = np.repeat(np.arange(len(homes)), [len(c) for c in cells])
                     take = pa.array(at)
                     yield pa.RecordBatch.from_arrays(
@@ -215,17 +218,21 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.98, recall: float = 0.995
     threshold is linked. Vectors that are null, zero or hold null or non-finite
     components, and rows without a label or id, link with nothing (a null id has
     a null component and ``kept`` false). Vectors of different lengths are never
-    compared. Rows that repeat an id count as one vector (the first by value).
+    compared; there may be any number of lengths. Rows that repeat an id count as one vector (the first by value).
     """
     base = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("string").alias("label"))
     ready = base.where(usable()).where("vec_id IS NOT NULL AND label IS NOT NULL") \
         .select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
     ready = checkpointed(ready.groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("v"))
                          .select("vec_id", "v.label", "v.embedding", F.size("v.embedding").alias("dim")))
-    shapes = ready.groupBy("dim").agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels")).limit(64).collect()
+    shapes = ready.groupBy("dim").agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels")) \
+        .orderBy(F.desc("n"), "dim").limit(GRIDS).collect()
     grids = {}
     for shape in shapes:
-        sample = ready.where(F.col("dim") == shape["dim"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").collect()
+        # hashes below a bound that about two samples stay under, so that partitions do not each send a whole one
+        bound = -(1 << 63) + min((1 << 64) - 1, (1 << 64) * 2 * SAMPLE // shape["n"])
+        sample = ready.where((F.col("dim") == shape["dim"]) & (F.xxhash64("vec_id") <= F.lit(bound))) \
+            .orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").collect()
         x = unit(np.array([r[0] for r in sample], np.float64))
         grids[shape["dim"]] = Grid(x, shape["n"] / shape["labels"] / PER_CELL, cosine, recall)
     run, schema = _visits(grids)

@@ -53,16 +53,8 @@ def _directory(rows: DataFrame, limit: int) -> DataFrame:
         low, most = most, min(HASH_BITS, most + STEP_BITS)
 
 
-def assign_shards(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, n_bytes, shard, depth, shard_bytes``;
-    ``shard`` is the bucket's hash prefix in 0s and 1s (empty: never split).
-
-    - no shard holds more than ``limit_bytes`` of text, except one row that is
-      larger by itself, or rows equal in id and text: 52 bits cannot part these,
-      so they keep one shard of full depth;
-    - null or empty text counts 0 bytes; a null id takes part like any other;
-    - an empty table gives an empty result; other columns are ignored.
-    """
+def _assigned(docs: DataFrame, limit_bytes: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, bits, n_bytes, depth, shard`` of each row."""
     rows = checkpointed(docs.select(F.col(id_col).alias("doc_id"), hash_bits(id_col, text_col).alias("bits"),
                                     F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes")))
     directory = _directory(rows, limit_bytes)
@@ -72,17 +64,42 @@ def assign_shards(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", tex
         leaf = directory.where(F.col("leaf_depth") == d).select(F.col("leaf").alias("_leaf"), F.col("depth").alias("_depth"))
         assigned = assigned.join(leaf, _prefix("bits", F.lit(d)) == F.col("_leaf"), "left") \
             .withColumn("depth", F.coalesce("depth", "_depth")).drop("_leaf", "_depth")
-    named = assigned.withColumn("shard", F.when(F.col("depth") == 0, F.lit("")).otherwise(
+    return assigned.withColumn("shard", F.when(F.col("depth") == 0, F.lit("")).otherwise(
         F.lpad(F.bin(_prefix("bits", "depth")), F.col("depth"), F.lit("0"))))
+
+
+def assign_shards(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: ``doc_id, n_bytes, shard, depth, shard_bytes``;
+    ``shard`` is the bucket's hash prefix in 0s and 1s (empty: never split).
+
+    - no shard holds more than ``limit_bytes`` of text, except one row that is
+      larger by itself, or rows equal in id and text: 52 bits cannot part these,
+      so they keep one shard of full depth;
+    - null or empty text counts 0 bytes; a null id takes part like any other;
+    - an empty table gives an empty result; other columns are ignored.
+    """
+    named = _assigned(docs, limit_bytes, id_col, text_col)
     sizes = named.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"))
     return named.join(sizes, "shard").select("doc_id", "n_bytes", "shard", F.col("depth").cast("long").alias("depth"), "shard_bytes")
 
 
 def write_shards(docs: DataFrame, path: str, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write ``docs`` with one folder per shard."""
-    plan = assign_shards(docs, limit_bytes, id_col, text_col).select("doc_id", "shard").distinct()
-    out = docs.join(plan, docs[id_col].eqNullSafe(plan.doc_id)).drop(plan.doc_id)
-    out.repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
+    """Write ``docs`` with one folder per shard, every row once.
+
+    Rows find their shard by their hash bits, of which it is a prefix, so null
+    and repeated ids stay one row for one. The folder's column is ``shard``,
+    with underscores added if ``docs`` has a column of that name; all columns
+    are kept. An empty table gives a folder without shards.
+    """
+    taken = {c.lower() for c in docs.columns}
+    name, bits = "shard", "bits"
+    while name in taken:
+        name += "_"
+    while bits in taken or bits == name:
+        bits += "_"
+    plan = _assigned(docs, limit_bytes, id_col, text_col).select(F.col("bits").alias(bits), F.col("shard").alias(name)).distinct()
+    out = docs.withColumn(bits, hash_bits(id_col, text_col)).join(plan, bits).drop(bits)
+    out.repartition(name).write.mode("overwrite").partitionBy(name).parquet(path)
 
 
 #: Bytes of text in a shard of the registered query.
