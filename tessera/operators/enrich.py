@@ -26,10 +26,13 @@ class Inputs:
         self.df = df
         self.cols = df.columns
         self.null_policy = null_policy
+        self.parsed: dict[str, Column] = {}  # numbers that are columns already
 
     def num(self, name: str, absent: float) -> tuple[Column, Column | None]:
         if name not in self.cols:
             return F.lit(float(absent)), None
+        if name in self.parsed:
+            return self.parsed[name], F.col(name)
         return parse_double(F.col(name), dtype_of(self.df, name)), F.col(name)
 
     def text(self, name: str, absent: str) -> Column:
@@ -223,6 +226,11 @@ SOURCES = {
 }
 
 
+#: Columns that sources read as numbers.
+NUMERIC_INPUTS = ["MonthlyIncome", "YearsAtCompany", "JobSatisfaction", "Amount", "DaysInStage", "CompletionPct",
+                  "EstimatedHours", "ActualHours", "SLATarget", "EscalationLevel"]
+
+
 def enrichment_column(df: DataFrame, source: str, null_policy: str = "bad") -> Column:
     if source not in SOURCES:
         raise ValueError(f"Unknown enrichment source '{source}'")
@@ -236,7 +244,12 @@ def enrich(df: DataFrame, sources: list[str], null_policy: str = "bad", function
     unknown = [s for s in sources if s not in SOURCES and (functions is None or s not in functions)]
     if unknown:
         raise ValueError(f"Unknown enrichment source '{unknown[0]}'")
-    return df.withColumns({s: SOURCES[s](inp) if s in SOURCES else functions[s].column(df) for s in sources})
+    # text that several sources read as numbers is parsed once, in a projection before theirs
+    texts = [c for c in NUMERIC_INPUTS if c in inp.string_columns()]
+    inp.parsed = {c: F.col(f"_n_{c}") for c in texts}
+    parsed = df.withColumns({f"_n_{c}": parse_double(F.col(c)) for c in texts}) if texts else df
+    out = parsed.withColumns({s: SOURCES[s](inp) if s in SOURCES else functions[s].column(df) for s in sources})
+    return out.drop(*(f"_n_{c}" for c in texts))
 
 
 def enrich_domain(df: DataFrame, domain: str, null_policy: str = "bad") -> DataFrame:
