@@ -119,7 +119,7 @@ class PieceModel:
         tail.append(-1)
         back.append(end - 1)
 
-    def encode_sorted(self, words: list[str]) -> dict[str, bytes]:
+    def encode_sorted(self, words: list[str]) -> dict[str, array]:
         """Ids of sorted distinct words, as 32-bit integers, by one walk that shares the states of common prefixes."""
         step = self.step_unigram if self.kind == "unigram" else self.step_bpe
         out, last, scores, tail, back = {}, "", [0.0], [-1], [0]
@@ -142,14 +142,14 @@ class PieceModel:
                     ids.append(self.unknown)
                 at = start
             ids.reverse()
-            out[word] = array("i", ids).tobytes()
+            out[word] = array("i", ids)
             last = word
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [marked_words(t) for t in texts]
         kept = self.words
-        fresh = self.encode_sorted(sorted({w for words in cut for w in words if w not in kept}))
+        fresh = {w: ids.tobytes() for w, ids in self.encode_sorted(sorted({w for words in cut for w in words if w not in kept})).items()}
         kept.update(fresh)
         out = [np.frombuffer(b"".join(map(kept.__getitem__, words)), np.int32) for words in cut]
         for word, ids in fresh.items():
