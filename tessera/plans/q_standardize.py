@@ -158,9 +158,9 @@ def bronze_silver_pipeline(spark, sf):
     for d, df in _pipeline_inputs(spark, sf).items():
         labeled = WK.label_domain(df, d).withColumnRenamed("_dq_label", "dq_label")
         TB.write_parquet(labeled, f"{base}/raw/domain={d}")
-        gold = C.gold_table(labeled, K.DOMAIN_NUMERIC[d], K.DOMAIN_CATEGORICAL[d])
-        TB.write_parquet(gold, f"{base}/gold/domain={d}")
         raw_back = spark.read.parquet(f"{base}/raw/domain={d}")
+        gold = C.gold_table(raw_back, K.DOMAIN_NUMERIC[d], K.DOMAIN_CATEGORICAL[d])
+        TB.write_parquet(gold, f"{base}/gold/domain={d}")
         n_gold = spark.read.parquet(f"{base}/gold/domain={d}").count()
         rows.append(raw_back.agg(F.lit(d).alias("domain"), F.count(F.lit(1)).alias("n_raw"),
                                  F.count_if(F.col("dq_label") == K.GOOD).alias("n_good"),
