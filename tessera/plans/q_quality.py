@@ -13,6 +13,7 @@ from tessera.plans.catalog import register
 from tessera.plans.policy import ORDERS_POLICY, compile_policy
 from tessera.plans.q_clean import _policy_ctes
 from tessera.plans.q_corrupt import corrupted_domain, corrupted_domain_ctes
+from tessera.session import stored
 from tessera.sources import fixtures as X
 
 DO = X.DIRTY_ORDERS_SPEC
@@ -388,8 +389,14 @@ from tessera.plans.policy import TASK_POLICIES  # noqa: E402
 from tessera.sources import tasks as TK  # noqa: E402
 
 
+def _ecommerce(spark, sf):
+    """The dirty table, stored since statistics and rows are read from it, and its cleaned version."""
+    raw = stored(TK.dirty_task(spark, sf, "ecommerce_mobile"))
+    return raw, compile_policy(raw, TASK_POLICIES["ecommerce_mobile"])
+
+
 def _clean_ecommerce(spark, sf):
-    return compile_policy(TK.dirty_task(spark, sf, "ecommerce_mobile"), TASK_POLICIES["ecommerce_mobile"])
+    return _ecommerce(spark, sf)[1]
 
 
 def _encode_sql() -> str:
@@ -419,7 +426,7 @@ def encode_features(spark, sf):
 def gate_stability(spark, sf):
     """Random-forest stability probe of the cleaned ecommerce table
     (Spark ML; scores are not comparable across ML libraries, so rows-only)."""
-    res = Q.stability_probe(_clean_ecommerce(spark, sf), "converted", "classification", "session_id")
+    res = Q.stability_probe(stored(_clean_ecommerce(spark, sf)), "converted", "classification", "session_id")
     return spark.createDataFrame([(res["score_mean"], res["score_std"], res["n_folds"], res["score_std"] <= 0.15)],
                                  "score_mean double, score_std double, n_folds int, passed boolean")
 
@@ -526,7 +533,8 @@ def rew_final_quality(spark, sf):
 def gate_report_full(spark, sf):
     """All six gates of the cleaned ecommerce table with the overall result,
     the shape and the retention (the probe is a Spark ML forest: no SQL)."""
-    raw, cleaned = TK.dirty_task(spark, sf, "ecommerce_mobile"), _clean_ecommerce(spark, sf)
+    raw, cleaned = _ecommerce(spark, sf)
+    cleaned = stored(cleaned)  # for the probe and the counts
     spec = TK.TASK_SPECS["ecommerce_mobile"]
     probe = Q.stability_probe(cleaned, "converted", "classification", "session_id")
     return Q.full_gate_report(cleaned, raw, spec, probe)
