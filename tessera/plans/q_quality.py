@@ -520,10 +520,11 @@ def rew_final_quality(spark, sf):
     """Terminal reward of the orders table handed in raw, with all but the
     last operation, and after the whole policy: from its own quality score,
     gates and share of the policy's operations."""
-    raw = _orders(spark, sf)
-    out = None
-    for name, k in SUBMISSIONS.items():
-        table = compile_policy(raw, ORDERS_POLICY[:k]) if k else raw
+    raw = table = stored(_orders(spark, sf))
+    out, done = None, 0
+    for name, k in SUBMISSIONS.items():  # each goes on from the one before
+        if k > done:
+            table, done = stored(compile_policy(table, ORDERS_POLICY[done:k])), k
         row = Q.submission_reward(table, raw, DO, k / len(ORDERS_POLICY)).select(F.lit(name).alias("submission"), "*")
         out = row if out is None else out.unionByName(row)
     return out
