@@ -3,9 +3,9 @@
 
 Word boundaries: Java's ``\\b`` is Unicode-aware and RE2's is ASCII, so they
 disagree next to accented letters. Patterns here spell the boundary as an
-explicit ASCII class; for "find all" extraction the separators are doubled
-first so that a boundary consumed at the end of one match is still there for
-the start of the next.
+explicit ASCII class; "find all" extraction looks at the characters beside a
+match without consuming them (RE2 has no such thing: the twin doubles the
+separators instead).
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from tessera.functions.exprs import ws_trim
 WORDC = "A-Za-z0-9_"
 # Capitalised-word and CamelCase shapes used by the parsers.
 CAPITALISED = "[A-Z][a-zA-Z]+(?:[A-Z][a-z]+)*"
+#: The same words between boundaries, without backtracking (Java only).
+CAPITALISED_RUN = "[A-Z][a-zA-Z]++"
 CAMEL = "[A-Z][a-z]+(?:[A-Z][a-z]+)+"
 QUOTED_WORD = f"[\"']([{WORDC}]+)[\"']"
 BLANKS = " \\t\\n\\r\\f\\x0B"
@@ -28,13 +30,9 @@ def bounded(core: str) -> str:
     return f"(?:^|[^{WORDC}])({core})(?:[^{WORDC}]|$)"
 
 
-def double_separators(text: Column) -> Column:
-    return F.regexp_replace(text, f"([^{WORDC}])", "$1$1")
-
-
 def find_all_bounded(text: Column, core: str) -> Column:
-    """All ``\\b(core)\\b`` matches, left to right."""
-    return F.regexp_extract_all(double_separators(text), F.lit(bounded(core)), 1)
+    """All ``\\b(core)\\b`` matches of a core of word characters, left to right."""
+    return F.regexp_extract_all(text, F.lit(f"(?<![{WORDC}])({core})(?![{WORDC}])"), 1)
 
 
 def first_bounded(text: Column, core: str) -> Column:
@@ -45,7 +43,7 @@ def first_bounded(text: Column, core: str) -> Column:
 def any_substring(lowered: Column, needles: list[str]) -> Column:
     cond = F.lit(False)
     for n in needles:
-        cond = cond | (F.instr(lowered, n.lower()) > 0)
+        cond = cond | F.contains(lowered, F.lit(n.lower()))
     return cond
 
 

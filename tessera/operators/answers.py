@@ -12,9 +12,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import constants as K
-from tessera.functions.exprs import ws_trim
-from tessera.functions.text import (CAPITALISED, any_substring, bounded, count_substrings, find_all_bounded,
+from tessera.functions.exprs import bound, ws_trim
+from tessera.functions.text import (CAPITALISED_RUN, WORDC, any_substring, bounded, count_substrings, find_all_bounded,
                                     sentence_count, word_count_in_sentences)
+from tessera.session import ensure_checkpoint_dir
 
 PERSONA_BY_ROLE = {p["role"]: p for p in K.PERSONAS}
 PERSONA_BY_NAME = {p["name"]: p for p in K.PERSONAS}
@@ -74,17 +75,44 @@ def hits_list(lowered: Column, needles: list[str]) -> Column:
 
 
 # ------------------------------------------------------------- faithfulness
-def sample_values(domain_tables: dict[str, tuple[DataFrame, str]], k: int = 10) -> DataFrame:
+#: Rows of smallest key that are looked at first for every column's sample values.
+SAMPLE_HEAD = 1000
+
+
+def _sampled_rows(df: DataFrame, key: str, cols: list[str], k: int, head: int) -> DataFrame:
+    """``_k, column_name, value`` of non-null values, at least the first ``k`` of every column in the
+    order of (key, value). The ``head`` rows of smallest key are taken without sorting the table. All
+    rows of a smaller key than the last of them are among them, so a column with ``k`` values there
+    is done; only columns with fewer, which are mostly null, are read whole."""
+    def stacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+        items = [F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c in columns]
+        return rows.select("_k", F.explode(F.array(*items)).alias("x")).select("_k", "x.*").where("value IS NOT NULL")
+
+    rows = df.select(F.col(key).cast("string").alias("_k"), *[F.col(c).cast("string").alias(c) for c in cols])
+    ensure_checkpoint_dir(df.sparkSession)
+    first = rows.orderBy("_k").limit(head).checkpoint(eager=True)
+    n, last = first.agg(F.count(F.lit(1)), F.max("_k")).first()
+    if n < head:
+        return stacked(first, cols)
+    whole = first.where(F.col("_k").isNull() | (F.col("_k") < F.lit(last)))  # null keys come first
+    counts = whole.agg(*[F.count(F.col(c)) for c in cols]).first()
+    few = [c for c, m in zip(cols, counts) if m < k]
+    done = stacked(whole, [c for c in cols if c not in few]) if len(few) < len(cols) else None
+    if not few:
+        return done
+    rest = stacked(rows, few)
+    return rest if done is None else done.unionByName(rest)
+
+
+def sample_values(domain_tables: dict[str, tuple[DataFrame, str]], k: int = 10, head: int = SAMPLE_HEAD) -> DataFrame:
     """(domain, column_name, values) with the first ``k`` non-null values of
     every column as text, in key order. ``row_number() <= k`` is planned as
-    a per-partition group limit before the shuffle, so the dimension costs
-    one pass and stays at columns x k rows."""
+    a per-partition group limit before the shuffle, over few rows for all
+    columns but mostly null ones; the dimension stays at columns x k rows."""
     out = None
     for d, (df, key) in domain_tables.items():
         cols = [c for c in df.columns if not c.startswith("_")]
-        items = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in cols]
-        long = (df.select(F.col(key).cast("string").alias("_k"), F.explode(F.array(*items)).alias("x"))
-                .select("_k", "x.column_name", "x.value").where(F.col("value").isNotNull()))
+        long = _sampled_rows(df, key, cols, k, head)
         w = W.partitionBy("column_name").orderBy("_k", "value")
         top = long.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
         agg = top.groupBy("column_name").agg(
@@ -123,16 +151,16 @@ def faithfulness_eval(cited: Column, valid_columns: Column) -> Column:
 
 
 def capitalised_words(text: Column) -> Column:
-    return find_all_bounded(text, CAPITALISED)
+    return find_all_bounded(text, CAPITALISED_RUN)
 
 
 def faithfulness_local(text: Column) -> Column:
     n_cap = F.size(capitalised_words(text))
-    lowered = F.lower(text)
+    hedged = bound(F.lower(text), lambda lowered: any_substring(lowered, HEDGES))
     score = (F.when(n_cap >= 1, 0.3).otherwise(0.0) + F.when(n_cap >= 3, 0.2).otherwise(0.0)
-             + F.when(text.rlike(PERCENT) | text.rlike(TWO_DIGITS), 0.2).otherwise(0.0)
-             - F.when(any_substring(lowered, HEDGES), 0.2).otherwise(0.0)
-             - F.when(F.length(ws_trim(text)) < 50, 0.3).otherwise(0.0))
+             + F.when((F.contains(text, F.lit("%")) & text.rlike(PERCENT)) | text.rlike(TWO_DIGITS_RUN), 0.2).otherwise(0.0)
+             - F.when(hedged, 0.2).otherwise(0.0)
+             - F.when((F.length(F.btrim(text, F.lit(MOST_BLANKS))) < 50) & (F.length(ws_trim(text)) < 50), 0.3).otherwise(0.0))
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
 
 
