@@ -24,6 +24,10 @@ PERSONA_BY_NAME = {p["name"]: p for p in K.PERSONAS}
 HEDGES = ["i believe", "probably", "might be", "i'm not sure", "i think maybe"]
 PERCENT = r"\d+\.?\d*%"
 TWO_DIGITS = bounded("[0-9]{2,}")
+#: The same texts, found from their first digit on without backtracking (Java only).
+TWO_DIGITS_RUN = f"[0-9](?<![{WORDC}][0-9])[0-9]++(?![{WORDC}])"
+#: All that ``ws_trim`` can take away.
+MOST_BLANKS = " \t\n\x0b\f\r\u0085\u2028\u2029"
 
 
 def keyword_score(lowered: Column, persona: dict) -> Column:
