@@ -1,6 +1,7 @@
 """The ten operators against brute force, exact round trips or held-out
 accuracy, on small tables with nulls, empty texts, ties, repeats and extra columns."""
 
+import itertools
 import random
 import re
 
@@ -135,6 +136,58 @@ def test_hashes_agree_across_the_edge_of_a_bucket(spark):
     assert found == {(2, 0, 95, 0, 60), (1, 5, 450, 0, 60)}
 
 
+def near_copies(rng):
+    """Texts whose passage has one near copy only, never a neighbour's, and shares with all others of its family too little."""
+    rows, mates = [], set()
+    for k in range(2):
+        base = words(rng, 120, 10**6).split()
+        for v in range(12):
+            one = [w if i % 30 < 16 else f"v{k}x{v}x{i}" for i, w in enumerate(base)]
+            for copy in range(2):
+                near = [f"edit{copy}" if copy and i in (25, 55, 85) else w for i, w in enumerate(one)]
+                rows.append((1000 * k + 12 * copy + v, " ".join([*words(rng, 40, 10**6).split(), *near, *words(rng, 40, 10**6).split()])))
+            mates.add((1000 * k + v, 1000 * k + 12 + v))
+    return rows, mates
+
+
+def test_near_copies_in_keys_of_many_windows(spark, monkeypatch):
+    rows, mates = near_copies(random.Random(10))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (4096, 8):
+        monkeypatch.setattr(substring_dedup, "BLOCK", block)
+        out = substring_dedup.near_duplicate_passages(docs).collect()
+        found = {(r.doc_id, r.other_id) for r in out if r.doc_id < r.other_id}
+        assert found == mates and all(r.similarity >= 0.8 for r in out), block
+
+
+def test_cores_are_compared_as_all_pairs_are():
+    """No pair with enough tokens in common is lost: it is there, shares a run with a common first one, or its classes' firsts are."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 65536, 40)
+    cores = []
+    for _ in range(60):
+        core = base.copy()
+        core[rng.integers(0, 40, rng.integers(1, 7))] = rng.integers(0, 65536)
+        cores.append(np.concatenate([rng.integers(0, 65536, rng.integers(0, 6)), core]).astype(np.uint16))
+
+    def runs(i, width=20):
+        return {tuple(cores[i][k: k + width].tolist()) for k in range(len(cores[i]) - width + 1)}
+
+    for sides in (np.zeros(60, int), np.arange(60) % 2):
+        found = {tuple(p) for p in substring_dedup.compared(cores, sides, 20, 80).tolist()}
+        assert all(i < j and (sides[i] != sides[j] or not sides.any()) for i, j in found)
+        for i in range(60):
+            for j in range(i):
+                if sides.any() and sides[i] == sides[j]:
+                    continue
+                if runs(i) & runs(j):  # one step through the first that has the run, or of the same side and compared there
+                    firsts = {min(k for k in range(60) if r in runs(k)) for r in runs(i) & runs(j)}
+                    assert all((f, k) in found or f == k or (sides.any() and sides[f] == sides[k]) for f in firsts for k in (i, j))
+                elif len(set(cores[i].tolist()) & set(cores[j].tolist())) >= 16 and not sides.any():
+                    classes = ({min(k for k in range(60) if r in runs(k)) for r in runs(x)} for x in (i, j))
+                    assert (j, i) in found or found & {(min(f, g), max(f, g)) for f, g in itertools.product(*classes)}
+
+
 def test_identical_passages_of_interleaved_variants(spark):
     rng = random.Random(9)
     rows, at = [], {}
