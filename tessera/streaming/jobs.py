@@ -135,37 +135,58 @@ def session_metrics(steps: DataFrame, gap: str = "30 minutes", delay: str = "60
 
 # ------------------------------------------------------------- curriculum
 class Promotions(StatefulProcessor):
-    """Per run: episodes wait in a keyed buffer until the watermark has passed their
-    event time, and are then promoted in the order of their number. What comes late
-    by less than the watermark's delay, or split over batches, thus changes nothing.
-    State: the buffer (episodes of the last ``delay``), the level and its window."""
+    """Per run: episodes wait in a buffer until the watermark has passed their event
+    time, and are then promoted in that order (by number where times are equal). What
+    comes late by less than the watermark's delay, or split over batches, thus changes
+    nothing. One timer for each run, at its earliest waiting episode, gives out all
+    that the watermark has passed, so the buffer is read once for each batch and not
+    for each episode. State: the buffer (episodes of the last ``delay``), the timer,
+    the level and its window."""
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "episode_no long", "run_id long, ms long, success boolean")
+        self.waiting = handle.getListState("waiting", "episode_no long, run_id long, ms long, success boolean")
+        self.timer = handle.getValueState("timer", "ms long")
         self.level = handle.getValueState("level", "level int, window string")
 
     def handleInputRows(self, key, rows, timerValues):
+        came = []
         for pdf in rows:
             pdf = pdf[pdf["episode_no"].notna()]  # the end-of-input row only moves the watermark
             for run_id, number, ts, success in zip(pdf["run_id"], pdf["episode_no"], pdf["ts"], pdf["success"]):
-                ms = int(pd.Timestamp(ts).value // 1_000_000)
-                self.waiting.updateValue((int(number),), (int(run_id), ms, bool(success)))
-                self.handle.registerTimer(ms)
+                came.append((int(number), int(run_id), int(pd.Timestamp(ts).value // 1_000_000), bool(success)))
+        if came:
+            self.waiting.appendList(came)
+            first, at = min(ms for _, _, ms, _ in came), self.timer.get() if self.timer.exists() else None
+            if at is None or first < at[0]:
+                if at is not None:
+                    self.handle.deleteTimer(at[0])
+                self._wake(first)
         return iter([])
 
+    def _wake(self, ms: int) -> None:
+        self.handle.registerTimer(ms)
+        self.timer.update((ms,))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         from tessera.operators.trajectory import promote, promotion_frame
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        due = sorted((number, ok, run_id) for (number,), (run_id, ms, ok) in self.waiting.iterator() if ms <= now)
+        now, watermark = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        held = {row[0]: tuple(row) for row in self.waiting.get()}  # of a number that came twice, the last
+        due = sorted((ms, number, ok, run_id) for number, run_id, ms, ok in held.values() if ms <= now or ms < watermark)
+        for _, number, _, _ in due:
+            del held[number]
+        if held:
+            self.waiting.put(list(held.values()))
+            self._wake(min(ms for _, _, ms, _ in held.values()))
+        else:
+            self.waiting.clear()
+            self.timer.clear()
         if not due:
             return iter([])
         level, window = self.level.get() if self.level.exists() else (0, "")
-        rows, level, window = promote([(number, ok) for number, ok, _ in due], int(level), [c == "1" for c in window])
+        rows, level, window = promote([(number, ok) for _, number, ok, _ in due], int(level), [c == "1" for c in window])
         self.level.update((level, "".join("1" if ok else "0" for ok in window)))
-        for number, _, _ in due:
-            self.waiting.removeKey((number,))
-        return iter([promotion_frame(due[0][2], rows)])
+        return iter([promotion_frame(due[0][3], rows)])
 
     def close(self) -> None:
         pass

@@ -162,3 +162,80 @@ def test_untouched_numbers_read_back(spark):
     out = noise_string_in_numeric(rows.select("id", "x", F.col("x").alias("y")), "id", ["x"], 0.1)
     assert out.where("try_cast(x as double) is not null and try_cast(x as double) <> y").count() == 0
     assert 300 < out.where("try_cast(x as double) is null").count() < 700
+
+
+class _State:
+    """Keyed state of one group in memory that counts the rows read from it; also the group's timers."""
+
+    def __init__(self):
+        self.rows, self.read, self.timers = {}, 0, set()
+
+    def getListState(self, name, schema):
+        return _Held(self, name)
+
+    getMapState = getValueState = getListState
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.timers.discard(ms)
+
+
+class _Held:
+    def __init__(self, state, name):
+        self.state, self.name = state, name
+
+    def exists(self):
+        return bool(self.state.rows.get(self.name))
+
+    def get(self):
+        held = self.state.rows.get(self.name, [])
+        if isinstance(held, list):
+            self.state.read += len(held)
+            return iter(list(held))
+        return held
+
+    def appendList(self, rows):
+        self.state.rows.setdefault(self.name, []).extend(rows)
+
+    def put(self, rows):
+        self.state.rows[self.name] = rows
+
+    update = put
+
+    def updateValue(self, key, row):
+        self.state.rows.setdefault(self.name, {})[key] = row
+
+    def iterator(self):
+        held = self.state.rows.get(self.name, {})
+        self.state.read += len(held)
+        return iter(list(held.items()))
+
+    def removeKey(self, key):
+        del self.state.rows[self.name][key]
+
+    def clear(self):
+        self.state.rows.pop(self.name, None)
+
+
+def test_buffered_episodes_are_read_once_for_each_batch():
+    import random
+    from types import SimpleNamespace
+
+    import pandas as pd
+    from tessera.operators.trajectory import promote, promotion_frame
+    from tessera.streaming import jobs as J
+    rng = random.Random(6)
+    oks = [rng.random() < 0.8 for _ in range(300)]
+    log = pd.DataFrame({"run_id": 7, "episode_no": range(300), "ts": pd.to_datetime([86400 * (i + 1) for i in range(300)], unit="s"), "success": oks})
+    processor, state, out = J.Promotions(), _State(), []
+    processor.init(state)
+    for part, until in ((log[150:].sample(frac=1, random_state=1), 0), (log[:150], 200 * 86_400_000), (log[:0], 10**12)):
+        processor.handleInputRows((7,), iter([part]), None)
+        watermark = SimpleNamespace(getCurrentWatermarkInMs=lambda until=until: until)
+        for ms in sorted(t for t in state.timers if t <= until):
+            state.timers.discard(ms)
+            out += processor.handleExpiredTimer((7,), watermark, SimpleNamespace(getExpiryTimeInMs=lambda ms=ms: ms))
+    assert pd.concat(out).reset_index(drop=True).equals(promotion_frame(7, promote(enumerate(oks))[0]))
+    assert state.read <= 2 * len(oks) and not state.timers
