@@ -170,7 +170,7 @@ class _State:
     def __init__(self):
         self.rows, self.read, self.timers = {}, 0, set()
 
-    def getListState(self, name, schema):
+    def getListState(self, name, *schema):
         return _Held(self, name)
 
     getMapState = getValueState = getListState
