@@ -161,7 +161,7 @@ def test_near_copies_in_keys_of_many_windows(spark, monkeypatch):
 
 
 def test_cores_are_compared_as_all_pairs_are():
-    """No pair with enough tokens in common is lost: it is there, shares a run with a common first one, or its classes' firsts are."""
+    """Two cores with a passage in common are linked, if by others, and every link is such a pair; each has a link of its own."""
     rng = np.random.default_rng(11)
     base = rng.integers(0, 65536, 40)
     cores = []
@@ -169,23 +169,44 @@ def test_cores_are_compared_as_all_pairs_are():
         core = base.copy()
         core[rng.integers(0, 40, rng.integers(1, 7))] = rng.integers(0, 65536)
         cores.append(np.concatenate([rng.integers(0, 65536, rng.integers(0, 6)), core]).astype(np.uint16))
-
-    def runs(i, width=20):
-        return {tuple(cores[i][k: k + width].tolist()) for k in range(len(cores[i]) - width + 1)}
+    at = np.array([len(c) - 20 for c in cores])
+    every = np.array([[bool(substring_dedup.passages(x, y, 20, 80)) for y in cores] for x in cores])
+    docs = np.arange(60)
+    docs[30] = 29
 
     for sides in (np.zeros(60, int), np.arange(60) % 2):
-        found = {tuple(p) for p in substring_dedup.compared(cores, sides, 20, 80).tolist()}
-        assert all(i < j and (sides[i] != sides[j] or not sides.any()) for i, j in found)
-        for i in range(60):
-            for j in range(i):
-                if sides.any() and sides[i] == sides[j]:
-                    continue
-                if runs(i) & runs(j):  # one step through the first that has the run, or of the same side and compared there
-                    firsts = {min(k for k in range(60) if r in runs(k)) for r in runs(i) & runs(j)}
-                    assert all((f, k) in found or f == k or (sides.any() and sides[f] == sides[k]) for f in firsts for k in (i, j))
-                elif len(set(cores[i].tolist()) & set(cores[j].tolist())) >= 16 and not sides.any():
-                    classes = ({min(k for k in range(60) if r in runs(k)) for r in runs(x)} for x in (i, j))
-                    assert (j, i) in found or found & {(min(f, g), max(f, g)) for f, g in itertools.product(*classes)}
+        found = {tuple(p) for p in substring_dedup.compared(cores, sides, 20, 80, docs, at, docs < 0).tolist()}
+        assert all(i < j and docs[i] != docs[j] and every[i, j] and (sides[i] != sides[j] or not sides.any()) for i, j in found)
+        kind = np.arange(60)
+        for block in range(2 if sides.any() else 0):  # blocks are compared with themselves too
+            own = np.flatnonzero(sides == block)
+            found |= {(own[i], own[j]) for i, j in substring_dedup.compared([cores[k] for k in own], np.zeros(len(own), int), 20, 80, docs[own], at[own], own < 0).tolist()}
+        for i, j in found:
+            kind[kind == kind[j]] = kind[i]
+        for i, j in itertools.combinations(range(60), 2):
+            assert kind[i] == kind[j] or not every[i, j] or docs[i] == docs[j]
+        assert {k for p in found for k in p} == {i for i in range(60) if any(every[i, j] and docs[i] != docs[j] for j in range(60))}
+
+
+def test_links_of_near_copies_grow_with_their_number():
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 65536, 90)
+    cores = []
+    for _ in range(200):
+        core = base.copy()
+        core[rng.choice(90, 4, replace=False)] = rng.integers(0, 65536, 4)
+        cores.append(core.astype(np.uint16))
+    found = substring_dedup.compared(cores, np.zeros(200, int), 46, 80, np.arange(200), np.full(200, 45), np.ones(200, bool))
+    assert len(found) < 1000 and set(found.ravel().tolist()) == set(range(200))
+
+
+def test_a_word_said_often_is_one_passage():
+    a, b = np.full(900, 7, np.int32), np.concatenate([np.arange(100, 160), np.full(300, 7), np.arange(200, 260)]).astype(np.int32)
+    for x, y, whole in ((a, b, (0, 899, 60, 359)), (b, a, (60, 359, 0, 899))):
+        found = substring_dedup.passages(x, y, 46, 80)
+        assert any(p[:4] == whole for p in found) and len(found) < 5
+    period = np.tile(np.arange(5), 200).astype(np.int32)
+    assert len(substring_dedup.passages(period, period[3:400], 46, 80)) < 5
 
 
 def test_identical_passages_of_interleaved_variants(spark):
