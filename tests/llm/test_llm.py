@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,6 +201,48 @@ def test_links_of_near_copies_grow_with_their_number():
     assert len(found) < 1000 and set(found.ravel().tolist()) == set(range(200))
 
 
+def test_every_pair_of_cores_with_a_passage_is_a_candidate():
+    rng = np.random.default_rng(13)
+    base = rng.integers(0, 65536, 40)
+    cores = []
+    for k in range(60):
+        core = base.copy()
+        core[rng.integers(0, 40, rng.integers(1, 7))] = rng.integers(0, 65536)
+        if k % 5 == 0:
+            core = np.insert(core, 10, rng.integers(0, 65536, 2))
+        cores.append(np.concatenate([rng.integers(0, 65536, rng.integers(0, 6)), core]).astype(np.uint16))
+    at = np.array([len(c) - 20 for c in cores])
+    docs = np.arange(60)
+    docs[30] = 29
+    every = {(i, j) for i, j in itertools.combinations(range(60), 2) if docs[i] != docs[j] and substring_dedup.passages(cores[i], cores[j], 20, 80)}
+    for sides in (np.zeros(60, int), np.arange(60) % 2):
+        found = {p for a, b in substring_dedup.alike_pairs(cores, sides, 20, 80, docs, at) for p in zip(a.tolist(), b.tolist())}
+        assert all(i < j and docs[i] != docs[j] and (sides[i] != sides[j] or not sides.any()) for i, j in found)
+        assert {(i, j) for i, j in every if sides[i] != sides[j] or not sides.any()} <= found
+
+
+def test_every_pair_of_near_copies_is_found(spark, monkeypatch):
+    rng = random.Random(14)
+    base = words(rng, 100, 10**6).split()
+    rows = []
+    for v in range(14):
+        near = [f"edit{v}" if i == 22 + 4 * v else w for i, w in enumerate(base)]
+        rows.append((v, " ".join([*words(rng, 40, 10**6).split(), *near, *words(rng, 40, 10**6).split()])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (4096, 8):
+        monkeypatch.setattr(substring_dedup, "BLOCK", block)
+        found = {(r.doc_id, r.other_id) for r in substring_dedup.near_duplicate_passages(docs).select("doc_id", "other_id").collect()}
+        assert found == set(itertools.permutations(range(14), 2)), block
+
+
+def test_both_places_of_a_core_in_one_document_are_tied():
+    tokens = np.arange(60, dtype=np.uint16).tobytes()
+    rows = [{"key": 4, "p": 0, "q": 0, "core": 9, "side": 0, "doc": d, "l": c - 30, "c": c, "r": c + 29, "start": c - 30, "tokens": tokens} for d, c in ((1, 30), (1, 530), (2, 30), (3, 30))]
+    run, _ = substring_dedup._compare(46, 80)
+    found = {(r["doc_a"], r["c_a"], r["doc_b"], r["c_b"]) for batch in run(iter([pa.RecordBatch.from_pylist(rows)])) for r in batch.to_pylist()}
+    assert {(1, 30, 2, 30), (1, 530, 2, 30), (1, 30, 3, 30)} <= found
+
+
 def test_a_word_said_often_is_one_passage():
     a, b = np.full(900, 7, np.int32), np.concatenate([np.arange(100, 160), np.full(300, 7), np.arange(200, 260)]).astype(np.int32)
     for x, y, whole in ((a, b, (0, 899, 60, 359)), (b, a, (60, 359, 0, 899))):
