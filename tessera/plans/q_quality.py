@@ -392,7 +392,7 @@ from tessera.sources import tasks as TK  # noqa: E402
 def _ecommerce(spark, sf):
     """The dirty table, stored since statistics and rows are read from it, and its cleaned version."""
     raw = stored(TK.dirty_task(spark, sf, "ecommerce_mobile"))
-    return raw, compile_policy(raw, TASK_POLICIES["ecommerce_mobile"])
+    return raw, compile_policy(raw, TASK_POLICIES["ecommerce_mobile"], is_stored=True)
 
 
 def _clean_ecommerce(spark, sf):
@@ -524,7 +524,7 @@ def rew_final_quality(spark, sf):
     out, done = None, 0
     for name, k in SUBMISSIONS.items():  # each goes on from the one before
         if k > done:
-            table, done = stored(compile_policy(table, ORDERS_POLICY[done:k])), k
+            table, done = stored(compile_policy(table, ORDERS_POLICY[done:k], is_stored=True)), k
         row = Q.submission_reward(table, raw, DO, k / len(ORDERS_POLICY)).select(F.lit(name).alias("submission"), "*")
         out = row if out is None else out.unionByName(row)
     return out

@@ -11,6 +11,7 @@ from tessera.operators import clean as C
 from tessera.operators import quality as Q
 from tessera.operators import trajectory as T
 from tessera.plans import q_quality
+from tessera.plans.policy import ORDERS_POLICY, compile_policy
 from tessera.session import ensure_checkpoint_dir, stored
 
 SF = "/root/testdata/sf0.001"
@@ -99,3 +100,20 @@ def test_two_digits_and_short_texts(spark):
     short = (F.length(F.btrim(t, F.lit(AN.MOST_BLANKS))) < 50) & (F.length(ws_trim(t)) < 50)
     for new, old in df.select(short, F.length(ws_trim(t)) < 50).collect():
         assert new == old
+
+
+def test_policy_reads_the_rows_of_a_stored_table(spark):
+    df = spark.createDataFrame([(1, "1-URGENT", "3"), (1, "1-URGENT", "3"), (2, None, "x"), (3, "5-LOW", "900")], "k long, priority string, price string")
+    steps = [s for s in ORDERS_POLICY if s[1] in (None, "priority", "price")]
+    cleaned = compile_policy(df, steps)
+    assert cleaned.inputFiles() and all("/stored-" in f for f in cleaned.inputFiles())
+    again = compile_policy(stored(df), steps, is_stored=True)
+    assert cleaned.count() == 3 and sorted(map(tuple, cleaned.collect())) == sorted(map(tuple, again.collect()))
+    assert not compile_policy(df, [("drop_duplicates", None)]).inputFiles()  # no statistics, nothing to store
+
+
+def test_ranked_rows_are_read_back_by_column(spark):
+    df = spark.createDataFrame([(k % 5, k) for k in range(100)], "g long, k long")
+    ranked = T.ordered_prefix(df, ["g"], ["k"], {}, 7)
+    assert any("/stored-" in f for f in ranked.inputFiles())
+    assert sorted(map(tuple, ranked.collect())) == sorted((k % 5, k, k // 5) for k in range(100))
