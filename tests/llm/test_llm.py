@@ -339,6 +339,16 @@ def test_ngram_join_matches_brute_force(spark, docs, width, percent):
                 assert (r.n_shingles, r.component_id) == truth[r.doc_id]
 
 
+def test_sets_and_their_codes_are_made_for_many_texts_at_once():
+    blobs = [b"a b c d e", b"", b"d e a b c", b"a b a b a b", b"b a b a b", b"a b c d e"]
+    sets = ngram_join._sets(blobs, 2)
+    assert all((s == np.unique(t)).all() for s, t in zip(sets, shingles(blobs, 2))) and [len(s) for s in sets] == [4, 0, 4, 2, 2, 4]
+    k1, k2 = ngram_join._set_codes(sets)
+    assert len(set(zip(k1.tolist(), k2.tolist()))) == 4 and k1[0] == k1[5] and k1[3] == k1[4] and k2[0] != k2[2]
+    for i in range(len(sets)):  # whatever stands beside it
+        assert [x.tolist() for x in ngram_join._set_codes(sets[i: i + 1])] == [[k1[i]], [k2[i]]]
+
+
 def test_trie_finds_what_all_pairs_find():
     rng = random.Random(8)
     base = [sorted(rng.sample(range(300), 60)) for _ in range(4)]
