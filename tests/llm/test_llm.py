@@ -121,6 +121,26 @@ def test_equal_runs_are_found_among_repeats():
         assert substring_dedup.passages(a, b, 10, 80)
 
 
+def test_equal_runs_of_either_side_come_together():
+    a = np.array([1, 2, 3, 4, 5, 6, 7, 8, 9, 9, 9, 9], np.int32)
+    b = np.array([0, 1, 2, 3, 4, 0, 5, 6, 7, 8, 1, 2, 3, 4], np.int32)
+    assert sorted(set(substring_dedup._equal_runs(a, b, 4))) == [(0, 1, 4), (0, 10, 4), (4, 6, 4)]
+    assert substring_dedup._equal_runs(a[:8], b[:10], 4) == [(0, 1, 4), (4, 6, 4)]  # nothing comes twice: from one side only
+    assert not substring_dedup._equal_runs(a[:3], b, 4) and not substring_dedup._equal_runs(a, a + 100, 4)
+
+
+def test_windows_of_many_texts_are_those_of_each():
+    rng = np.random.default_rng(16)
+    for most in (0, 3, 10**6):
+        texts = [rng.integers(0, most, n, endpoint=True).astype(np.uint64) for n in (7, 300, 8, 60, 7, 900)]
+        ends = np.cumsum([len(t) for t in texts])
+        found = list(zip(*(x.tolist() for x in substring_dedup._windows_of(np.concatenate(texts), ends, 7))))
+        start = ends - [len(t) for t in texts]
+        assert found == [tuple(int(x + s) for x in w) for s, t in zip(start, texts) for w in substring_dedup.compact_windows(t, 7)]
+        view = np.lib.stride_tricks.sliding_window_view(texts[-1], 7)
+        assert {c for _, c, _ in substring_dedup.compact_windows(texts[-1], 7)} == set((view.argmin(1) + np.arange(len(view))).tolist())
+
+
 def test_passage_with_an_insertion_from_both_sides():
     rng = random.Random(8)
     plain = words(rng, 90, 10**6).split()
